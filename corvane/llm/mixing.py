@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD_SQL, prepare
+from corvane.llm.common import WORD_SQL, fresh, prepare
 
 BLOCKS, RANGES = 65_536, 256
 

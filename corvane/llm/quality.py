@@ -99,7 +99,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden: int = 24, steps: int = 1200, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden: int = 24, steps: int = 700, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
     """Minimise the non-negative PU risk with the logistic loss by Adam on the full sample."""
     both = np.vstack((positive, unlabelled))
     mean, scale = both.mean(0), both.std(0) + 1e-3
