@@ -5,10 +5,395 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions import blocks as B
+from corvane.functions import numeric, text
+from corvane.operators import answering, audit, cleaning, dialogue, identity, indexing, ranking, routing, sections, tables
+from corvane.plans import documents, search
+from corvane.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1)
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def text_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as one chunk of its own."""
+    d = read(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", F.lit(1).alias("page_no"), F.lit("paragraph").alias("chunk_type"), F.array(F.lit("Document")).alias("section_path"))
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+NORM = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+TOKENS = r"regexp_extract_all(" + NORM + r", '[a-z0-9][a-z0-9._/-]*')"
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+# text functions
+
+
+@query(f"select doc_id, cast(len({TOKENS.format('text')}) as bigint) n_tokens, md5(array_to_string({TOKENS.format('text')}, ' ')) tokens_md5 from documents")
+def x1_tokens(spark, sf):
+    t = text.tokens(F.coalesce("text", F.lit("")))
+    return read(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+@query("select vec_id, round(sqrt(list_inner_product(v, v)), 6) norm, round(case when list_inner_product(v, v) = 0 then v[1] else v[1] / sqrt(list_inner_product(v, v)) end, 6) first_component from (select vec_id, embedding::double[] v from embeddings)")
+def x2_unit_vectors(spark, sf):
+    e = read(spark, sf, "embeddings")
+    return e.select("vec_id", F.round(F.sqrt(numeric.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"), F.round(numeric.unit(F.col("embedding"))[0], 6).alias("first_component"))
+
+
+@query(f"select doc_id, sha1({NORM.format('text')}) signature from documents")
+def x4_text_signature(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.signature(F.col("text")).alias("signature"))
+
+
+@query(
+    f"""select item_id, case when length(n) >= 4 then n else '' end phrase, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(n, '[a-z0-9]{{2,}}')), lambda x: x not in ('what','how','many','much','which','does','is','are'))), ' ') terms,
+    contains(n, 'table') or contains(n, 'chart') or contains(n, 'figure') or contains(n, 'trend') prefers from (select item_id, {NORM.format('text')} n from benchmark)"""
+)
+def x5_query_signature(spark, sf):
+    s = text.query_signature(F.col("text"))
+    return read(spark, sf, "benchmark").select("item_id", s["phrase"].alias("phrase"), F.array_join(s["terms"], " ").alias("terms"), s["prefers"].alias("prefers"))
+
+
+@query(r"select doc_id, array_to_string(list_transform(regexp_extract_all(text, '20\d{2}(?:[Qq][1-4]|[Hh][12]|[Mm]\d{1,2}|1-3[Qq])?'), lambda x: upper(x)), ',') times from documents")
+def x7_time_terms(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.array_join(text.planner_times(F.coalesce("text", F.lit(""))), ",").alias("times"))
+
+
+@query(
+    rf"""with l as (select doc_id, {STRIP.format('text')} t, list_filter(list_transform(string_split({STRIP.format('text')}, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '') ls from documents),
+    c as (select doc_id, len(regexp_extract_all(t, '\d')) digits, len(list_filter(ls, lambda x: length(x) <= 20)) short, len(list_filter(ls, lambda x: length(x) - length(replace(x, '.', '')) >= 5)) dotted,
+      len(list_filter(ls, lambda x: len(regexp_extract_all(x, '\d')) >= 2)) nums, len(list_filter(ls, lambda x: regexp_matches(x, '[.:;]') or length(x) >= 24)) sents, len(ls) n,
+      regexp_matches({NORM.format('t')}, 'contents|figure index|chart index|appendix index') marked from l)
+    select doc_id, cast(short as bigint) short_lines, cast(digits as bigint) digits, marked or (dotted >= 1 and short >= 2) navigational,
+      n > 0 and ((digits >= 12 and (short >= 3 or (n >= 3 and short >= 2))) or (nums >= 3 and n >= 4)) sparse, n > 0 and sents >= greatest(1, n // 2) narrative from c"""
+)
+def x8_chunk_profile(spark, sf):
+    p = text.chunk_profile(F.col("text"), F.array(F.lit("Document")))
+    d = read(spark, sf, "documents").select("doc_id", p.alias("p"))
+    return d.select("doc_id", F.col("p.short_lines").cast("long").alias("short_lines"), F.col("p.digits").cast("long").alias("digits"), "p.navigational", "p.sparse", "p.narrative")
+
+
+@query("select doc_id, left(text, 240) excerpt, case when length(text) > 220 then left(text, 220) || '...' else text end preview from documents")
+def x10_previews(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 240).alias("excerpt"), text.preview(F.col("text"), 220, "...").alias("preview"))
+
+
+# sources and document-level projections
+
+
+@query("select page_id, sha256(html) sha256, 'doc_' || left(sha1(url || ':' || sha256(html)), 12) doc_id from pages")
+def s2_p1_identity(spark, sf):
+    digest = F.sha2(F.col("html").cast("binary"), 256)
+    return read(spark, sf, "pages").select("page_id", digest.alias("sha256"), identity.doc_id(F.col("url"), digest).alias("doc_id"))
+
+
+@query("select page_id, case when regexp_matches(lower(url), 'report|research') then 'research_report' when contains(lower(url), 'announcement') then 'company_announcement' when regexp_matches(lower(url), 'deck|presentation') then 'presentation' when contains(lower(url), 'manual') then 'manual' else 'pdf_corpus' end source_type, case when len(string_split(url, '/')) > 1 then string_split(url, '/')[1] else 'default' end collection from pages")
+def p2_p3_source_type(spark, sf):
+    return read(spark, sf, "pages").select("page_id", identity.source_type(F.lit(""), F.col("url")).alias("source_type"), identity.collection(F.col("url")).alias("collection"))
+
+
+@query("select doc_id, contains(lower(text), 'ticker') or contains(lower(text), 'analyst') finance, true generic from documents")
+def p6_p7_profiles(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", identity.FinanceProfile().detect(F.col("text")).alias("finance"), identity.Profile().detect(F.col("text")).alias("generic"))
+
+
+# blocks
+
+LINES = rf"(select doc_id, pos, line from (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 pos from documents) where {STRIP.format('line')} <> '')"
+
+
+@query(
+    rf"""select doc_id, count(*) n_blocks, count(*) filter (where strict) n_strict, count(*) filter (where loose) n_loose, count(*) filter (where period) n_period, count(*) filter (where numeric) n_numeric, count(*) filter (where note) n_note, count(*) filter (where terminal) n_terminal,
+      count(*) filter (where kind = 'heading') n_heading, count(*) filter (where kind = 'list_item') n_list from (
+      select *, case when strict then 'heading' when regexp_matches(s, '^[-*•◼◆➢]') then 'list_item' when length(s) between 4 and 36 and not terminal and not period and not note and not numeric then 'heading' else 'paragraph' end kind from (
+      select *, regexp_matches(s, '^(?:\d{{1,2}}(?:\.\d+){{0,3}}(?:[.)]|\s+)|[IVXLC]+(?:[.)]|\s+))\s*[^\n]+') strict, regexp_matches(s, '^(?:\d{{1,2}}(?:\.\d+){{0,3}}|[IVXLC]+[.)]?)\s*[^\n]+') loose,
+        regexp_full_match(regexp_replace(lower(s), '\s+', '', 'g'), '20\d{{2}}(?:[-/]\d{{1,2}}(?:[-/]\d{{1,2}})?)?|\d{{4}}[qehm]\d{{1,2}}|\d{{4}}\d{{0,2}}\d{{0,2}}') period,
+        length(regexp_replace(s, '\s+', '', 'g')) > 0 and length(regexp_replace(s, '[^0-9%.\-/+E,]', '', 'g')) / length(regexp_replace(s, '\s+', '', 'g')) >= 0.45 numeric,
+        contains(lower(s), 'source:') or regexp_full_match(s, '\d{{1,4}}') note, regexp_matches(s, '[.!?;:]$') terminal from (select doc_id, {STRIP.format('line')} s from {LINES}))) group by doc_id"""
+)
+def c1_c6_block_labels(spark, sf):
+    b = documents.text_blocks(read(spark, sf, "documents"))
+    s = text.strip(F.col("text"))
+    n = lambda c, name: F.count_if(c).alias(name)
+    return b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), n(B.structured_strict(s), "n_strict"), n(B.structured(s), "n_loose"), n(B.period_label(s), "n_period"), n(B.mostly_numeric(s), "n_numeric"), n(B.page_or_source(s), "n_note"), n(B.terminal(s), "n_terminal"), n(F.col("type") == "heading", "n_heading"), n(F.col("type") == "list_item", "n_list"))
+
+
+@query(
+    rf"""select doc_id, md5(case when len(ls) <= 1 then coalesce(ls[1], '') when len(list_filter(ls, lambda x: length(x) <= 10)) / len(ls) >= 0.7 and len(ls) >= 4 then array_to_string(ls, chr(10)) else {STRIP.format("regexp_replace(array_to_string(ls, ' '), '\\s+([,.!?;:])', '\\1', 'g')".replace(chr(92) * 2, chr(92)))} end) cleaned_md5
+    from (select doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '') ls from documents)"""
+)
+def c7_c8_clean_text(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.md5(B.clean_text(F.col("text"), F.lit("paragraph"))).alias("cleaned_md5"))
+
+
+@query(rf"select doc_id, noise from (select doc_id, trim(regexp_replace(line, '\s+', ' ', 'g')) noise, count(distinct pos // 20) pages from {LINES} where length({STRIP.format('line')}) <= 30 group by all) where pages >= 2")
+def c10_repeated_noise(spark, sf):
+    return cleaning.repeated_noise(documents.text_blocks(read(spark, sf, "documents")))
+
+
+@query()
+def c32_cleaned_blocks(spark, sf):
+    return cleaning.clean(documents.text_blocks(read(spark, sf, "documents"))).drop("bbox")
+
+
+@query()
+def e1_section_paths(spark, sf):
+    out = sections.section_paths(cleaning.clean(documents.text_blocks(read(spark, sf, "documents"))))
+    return out.select("doc_id", "page_no", "block_ord", "type", F.array_join("section_path", " > ").alias("section"))
+
+
+@query()
+def k1_chunks(spark, sf):
+    c = documents.chunk_table(documents.text_blocks(read(spark, sf, "documents")))
+    return c.withColumn("section_path", F.array_join("section_path", " > ")).withColumn("block_ids", F.array_join("block_ids", ",")).withColumn("source_roles", F.array_join("source_roles", ","))
+
+
+@query()
+def k1_page_chunks(spark, sf):
+    c = documents.chunk_table(documents.html_blocks(read(spark, sf, "pages")))
+    return c.select("chunk_id", "doc_id", "chunk_type", "char_count", "evidence_type", F.array_join("section_path", " > ").alias("section"))
+
+
+@query(
+    """with t as (select l_orderkey doc_id, count(*) n, '表头: part | quantity | price' || chr(10) || string_agg('数据: ' || l_partkey || ' | ' || cast(l_quantity as bigint) || ' | ' || l_linenumber, chr(10) order by l_linenumber, cast(l_partkey as varchar), cast(cast(l_quantity as bigint) as varchar)) txt,
+      '<table><tr><td>part</td><td>quantity</td><td>price</td></tr>' || string_agg('<tr><td>' || l_partkey || '</td><td>' || cast(l_quantity as bigint) || '</td><td>' || l_linenumber || '</td></tr>', '' order by l_linenumber, cast(l_partkey as varchar), cast(cast(l_quantity as bigint) as varchar)) || '</table>' html from lineitem group by all)
+    select doc_id, n + 1 n_rows, md5(txt) text_md5, md5(html) html_md5 from t"""
+)
+def t1_t11_tables(spark, sf):
+    """Each order's items as a table with a header."""
+    row = F.array(F.col("l_partkey").cast("string"), F.col("l_quantity").cast("long").cast("string"), F.col("l_linenumber").cast("string"), F.lit(None).cast("string"))
+    g = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))).alias("l"))
+    raw = g.select("doc_id", F.lit(1).alias("page_no"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.lit(0).alias("table_idx"), F.struct(F.lit(10.0).alias("x0"), F.lit(10.0).alias("y0"), F.lit(500.0).alias("x1"), F.lit(90.0).alias("y1")).alias("bbox"), F.concat(F.array(F.array(F.lit("part"), F.lit(" quantity "), F.lit("price"))), F.transform("l", lambda x: x["r"])).alias("rows"))
+    t = tables.table_blocks(raw)
+    return t.select("doc_id", F.col("table_json.row_count").cast("long").alias("n_rows"), F.md5("text").alias("text_md5"), F.md5("table_html").alias("html_md5"))
+
+
+# indexes and recall
+
+POSTINGS = f"(select doc_id, len(ts) dl, unnest(ts) term from (select doc_id, {TOKENS.format('text')} ts from documents))"
+BM25 = f"""p as (select doc_id, any_value(dl) dl, term, count(*) tf from {POSTINGS} group by doc_id, term), d as (select term, count(*) df from p group by term),
+    s as (select count(*) n, avg(len({TOKENS.format('text')})) avgdl from documents), q as (select item_id query_id, term, count(*) qtf from (select item_id, unnest({TOKENS.format('text')}) term from benchmark) group by all),
+    b as (select query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) score from q join p using (term) join d using (term), s group by all),
+    r as (select query_id, doc_id chunk_id, score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) rank from b where score > 0)"""
+VECTORS = """v as (select vec_id, embedding::double[] e from embeddings), vs as (select q.vec_id query_id, c.vec_id chunk_id, list_inner_product(q.e, c.e) score from v q, v c where q.vec_id % 50 = 0),
+    vr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) rank from vs where score > 0)"""
+
+
+@query(f"select doc_id, count(distinct term) n_terms, max(dl) dl from {POSTINGS} group by doc_id")
+def i1_postings(spark, sf):
+    p = indexing.postings(read(spark, sf, "documents").withColumnRenamed("doc_id", "chunk_id"))
+    return p.groupBy(F.col("chunk_id").alias("doc_id")).agg(F.count("*").alias("n_terms"), F.max("dl").cast("long").alias("dl"))
+
+
+@query(f"with {BM25} select query_id, cast(rank as bigint) rank, chunk_id, round(score, 6) score from r where rank <= 20")
+def i2_bm25(spark, sf):
+    return indexing.bm25(questions(spark, sf), text_chunks(spark, sf), 20).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+def _vectors(spark, sf, n):
+    e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return indexing.vector_search(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id"), n)
+
+
+@query(f"with {VECTORS} select query_id, cast(rank as bigint) rank, chunk_id, round(score, 6) score from vr where rank <= 20")
+def i5_vector_search(spark, sf):
+    return _vectors(spark, sf, 20).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    rf"""with t as (select item_id, regexp_replace(lower(text), '\s\s+', ' ', 'g') t from benchmark), g as (select item_id, substr(t, i, n) gram from t, range(2, 5) a(n), lateral (select unnest(range(1, length(t) - n + 2)) i)),
+    c as (select gram, count(*) total, count(distinct item_id) df from g group by gram), k as (select * from c order by total desc, gram limit 2048)
+    select gram, row_number() over (order by gram) - 1 idx, round(ln((1 + (select count(*) from benchmark)) / (1 + df)) + 1, 9) idf from k"""
+)
+def i7_tfidf_model(spark, sf):
+    m = indexing.tfidf_model(read(spark, sf, "benchmark").select(F.col("item_id").alias("key"), "text"))
+    return m.select("gram", F.col("idx").cast("long").alias("idx"), F.round("idf", 9).alias("idf"))
+
+
+def _fused(spark, sf, mode, weights):
+    lexical = _vectors(spark, sf, 20)
+    other = lexical.where("(chunk_id + rank) % 3 <> 0").withColumn("rank", F.row_number().over(ranking.Window.partitionBy("query_id").orderBy((F.col("chunk_id") * 7 % 101), "chunk_id")))
+    out = ranking.fuse(lexical, other, 30, mode=mode, weights=weights)
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
+
+
+FUSE = f"""with {VECTORS}, a as (select query_id, chunk_id, rank from vr where rank <= 20), b as (select query_id, chunk_id, row_number() over (partition by query_id order by chunk_id * 7 % 101, chunk_id) rank from a where (chunk_id + rank) % 3 <> 0),
+    f as (select coalesce(a.query_id, b.query_id) query_id, coalesce(a.chunk_id, b.chunk_id) chunk_id, a.rank ar, b.rank br, {{0}} score from (select *, count(*) over (partition by query_id) n from a) a full join (select *, count(*) over (partition by query_id) n from b) b on a.query_id = b.query_id and a.chunk_id = b.chunk_id),
+    o as (select *, row_number() over (partition by query_id order by round(score, 12) desc, ar nulls last, br nulls last) rank from f)
+    select query_id, cast(rank as bigint) rank, chunk_id, round(score, 9) score, concat_ws(',', case when ar is not null then 'bm25' end, case when br is not null then 'vector' end) sources from o where rank <= 30"""
+
+
+@query(FUSE.format("coalesce(1.0::double / (60 + a.rank), 0) + coalesce(1.0::double / (60 + b.rank), 0)"))
+def q4_rrf_fusion(spark, sf):
+    return _fused(spark, sf, "rrf", (1.0, 1.0))
+
+
+@query(FUSE.format("coalesce(2.0::double * (a.n - a.rank + 1) / a.n, 0) + coalesce(0.5::double * (b.n - b.rank + 1) / b.n, 0)"))
+def q5_weighted_fusion(spark, sf):
+    return _fused(spark, sf, "weighted_rank", (2.0, 0.5))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid ranked retrieval of the chunks of all documents for all benchmark questions."""
+    chunks = documents.chunk_table(documents.text_blocks(read(spark, sf, "documents"))).select("chunk_id", "doc_id", "text", "page_no", "chunk_type", "section_path")
+    out = search.hybrid_search(questions(spark, sf), chunks, 6)
+    return out.select("query_id", "rank", "chunk_id", "doc_id", "chunk_type", F.round("score", 9).alias("score"), F.array_join("sources", ",").alias("sources"))
+
+
+@query()
+def q1_hybrid_search(spark, sf):
+    return flagship(spark, sf)
+
+
+@query()
+def q2_heading_search(spark, sf):
+    """The type filter behind the cut: fewer results than asked for."""
+    out = search.hybrid_search(questions(spark, sf), text_chunks(spark, sf).withColumn("chunk_type", F.when(F.col("doc_id") % 5 == 0, "table").otherwise("paragraph")), 6, chunk_types={"table"})
+    return out.select("query_id", "rank", "chunk_id", "chunk_type", F.round("score", 9).alias("score"))
+
+
+# answers
+
+RANKED = f"""{BM25}, e as (select query_id, rank, r.chunk_id, d.text from r join documents d on d.doc_id = r.chunk_id where rank <= 8)"""
+
+
+def _evidence(spark, sf):
+    chunks = text_chunks(spark, sf)
+    return indexing.bm25(questions(spark, sf), chunks, 8).join(chunks, "chunk_id")
+
+
+@query(f"with {RANKED} select query_id, md5(string_agg('[C' || rank || '] doc_id=' || chunk_id || ' page=1 type=paragraph section=Document' || chr(10) || text, chr(10) || chr(10) order by rank)) evidence_md5 from e group by query_id")
+def g1_evidence_block(spark, sf):
+    return answering.evidence_block(_evidence(spark, sf)).select("query_id", F.md5("evidence").alias("evidence_md5"))
+
+
+@query(
+    f"""with {RANKED}, c as (select query_id, k claim_ord, 'claim ' || k claim, chunk_id from (select query_id, chunk_id, rank % 3 k from e union all select query_id, -1 - query_id chunk_id, 0 k from e where rank = 1 union all select query_id, chunk_id, 2 from e where rank = 3) where k < 4),
+    f as (select *, row_number() over (partition by query_id, chunk_id order by claim_ord) one from c) select f.query_id, f.claim, f.chunk_id, left(e.text, 240) excerpt from f join e on e.query_id = f.query_id and e.chunk_id = f.chunk_id where one = 1"""
+)
+def g7_g8_citations(spark, sf):
+    e = _evidence(spark, sf)
+    ids = e.select("query_id", "chunk_id", (F.col("rank") % 3).alias("claim_ord"), "rank")
+    ids = ids.unionByName(e.where("rank = 1").select("query_id", (-1 - F.col("query_id")).alias("chunk_id"), F.lit(0).alias("claim_ord"), F.lit(99).alias("rank"))).unionByName(e.where("rank = 3").select("query_id", "chunk_id", F.lit(2).alias("claim_ord"), F.lit(98).alias("rank")))
+    claims = ids.groupBy("query_id", "claim_ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("supporting_chunk_ids")).withColumn("claim", F.concat(F.lit("claim "), F.col("claim_ord").cast("string")))
+    return answering.citations(answering.audit(claims, e), e).select("query_id", "claim", "chunk_id", "excerpt")
+
+
+@query()
+def g10_answers(spark, sf):
+    ranked = search.hybrid_search(questions(spark, sf), text_chunks(spark, sf), 6)
+    return search.answer(questions(spark, sf), ranked)["answers"].select("query_id", "answer", "confidence", F.size("claims").alias("n_claims"))
+
+
+# dialogue
+
+
+@query(
+    r"""with t as (select conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) q from conversations)
+    select conv_id, turn, case when contains(lower(q), 'vs') then 'compare' when regexp_matches(lower(q), 'table|chart|figure|trend') then 'structured_qa' else 'qa' end intent,
+    case when length(q) >= 30 or len(regexp_extract_all(q, '[,]')) >= 2 then 'high' when length(q) >= 16 then 'medium' else 'low' end complexity, array_to_string(list_transform(regexp_extract_all(q, '20\d{2}(?:[Qq][1-4]|[Hh][12]|[Mm]\d{1,2}|1-3[Qq])?'), lambda x: upper(x)), ',') times from t"""
+)
+def l1_l4_intents(spark, sf):
+    q = text.normalize_query(F.coalesce("text", F.lit("")))
+    return read(spark, sf, "conversations").select("conv_id", "turn", dialogue.intent(q).alias("intent"), dialogue.complexity(q).alias("complexity"), F.array_join(text.planner_times(q), ",").alias("times"))
+
+
+@query(r"select conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') entities from (select conv_id, turn, list_filter(regexp_extract_all(text, '[A-Za-z0-9]{2,32}'), lambda x: not regexp_full_match(x, '\d+')) l from conversations)")
+def v2_entities(spark, sf):
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.array_join(dialogue.entities(F.coalesce("text", F.lit(""))), " ").alias("entities"))
+
+
+@query()
+def v10_l9_plans(spark, sf):
+    """Resolved, planned and enriched queries of each user turn, with the messages before it."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    t = read(spark, sf, "conversations").withColumn("messages", F.slice(F.collect_list(F.coalesce("text", F.lit(""))).over(before), 1, 10000)).where("role = 'user'")
+    none = F.lit(None)
+    state = t.select("conv_id", "turn", F.col("text").alias("user_query"), "messages", none.cast("string").alias("last_entity"), none.cast("string").alias("conversation_anchor"), none.cast("array<string>").alias("recent"))
+    r = dialogue.resolve(state).select("*", none.cast("struct<entity:string,product:string,topic:string>").alias("topic"), none.cast("struct<metric_scope:array<string>,aspect_scope:array<string>,comparison_target:string,output_style:string,dialogue_referents:array<string>>").alias("last_context"), none.cast("string").alias("conversation_summary"), none.cast("int").alias("top_k"), none.cast("boolean").alias("tables_only"))
+    p = dialogue.plan(r)
+    return p.select("conv_id", "turn", "resolved_query", "follow_up", "plan.intent", "plan.top_k", dialogue.search_query(F.col("resolved_query"), F.col("plan")).alias("search_query"))
+
+
+@query(
+    r"""with s as (select conv_id, turn, coalesce(trim(text), '') = '' no_query, turn % 7 > 0 planned, turn % 5 n_candidates, turn % 4 n_evidence, length(text) % 2 = 0 low, length(text) % 3 n_citations, turn % 3 retries from conversations)
+    select conv_id, turn, case when no_query then 'conversation_resolver' when not planned then 'query_planner' when n_candidates = 0 then 'retrieval_strategist' when (n_evidence = 0 or low) and retries < 2 then 'retrieval_strategist' when n_citations = 1 then 'synthesizer' when n_citations = 0 then 'citation_auditor' else 'finish' end next_node,
+    not (not no_query and planned and n_candidates > 0 and not ((n_evidence = 0 or low) and retries < 2) and n_citations = 2) should_continue from s"""
+)
+def w1_routes(spark, sf):
+    n = F.length("text")
+    c = read(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("resolved_query"), (F.col("turn") % 7 > 0).alias("has_plan"), (F.col("turn") % 5).alias("n_candidates"), (F.col("turn") % 4).alias("n_evidence"), F.when(n % 2 == 0, F.array(F.lit("caption_evidence"), F.lit("low_value_evidence"))).otherwise(F.array(F.lit("caption_evidence"), F.lit("narrative_evidence"))).alias("evidence_types"), F.when(n % 3 != 1, "a").alias("draft_answer"), (n % 3).alias("n_citations"), (F.col("turn") % 3).alias("retry_count"), F.lit(0).alias("max_retry_count"))
+    return routing.route(c).select("conv_id", "turn", "next_node", "should_continue")
+
+
+@query(
+    r"""with m as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) t, row_number() over (partition by conv_id order by turn) i from conversations)
+    select a.conv_id, a.turn, coalesce(string_agg(b.role || ': ' || left(b.t, 120), chr(10) order by b.i) filter (where b.t <> ''), '') summary, cast(least(any_value(a.i), 20) as bigint) n_kept from m a join m b on a.conv_id = b.conv_id and b.i between a.i - 5 and a.i group by a.conv_id, a.turn"""
+)
+def m2_m3_summaries(spark, sf):
+    return sessions.replay(read(spark, sf, "conversations")).select("conv_id", "turn", "summary", F.col("n_kept").cast("long").alias("n_kept"))
+
+
+# audit
+
+AUDIT_CHUNKS = rf"a as (select doc_id, pos chunk_no, pos // 20 + 1 page_no, case when length({STRIP.format('line')}) <= 36 then 'heading' when contains(line, '|') then 'table' else 'paragraph' end chunk_type, line txt from {LINES})"
+PAGES = AUDIT_CHUNKS + rf""", pg as (select doc_id, page_no, count(*) chunk_count, count(*) filter (where chunk_type = 'heading') / count(*) hr, count(*) filter (where length({STRIP.format('txt')}) <= 24) short from a group by all),
+    al as (select *, concat_ws(',', case when chunk_count >= 18 then 'high_page_chunk_count' end, case when hr >= 0.6 then 'high_heading_ratio' end, case when short >= 10 then 'many_short_chunks' end) reasons from pg)"""
+
+
+def _audited(spark, sf):
+    b = documents.text_blocks(read(spark, sf, "documents"))
+    kind = F.when(F.length(text.strip(F.col("text"))) <= 36, "heading").when(F.contains(F.col("text"), F.lit("|")), "table").otherwise("paragraph")
+    return b.select("doc_id", (F.col("block_ord") - 1).alias("chunk_no"), "page_no", kind.alias("chunk_type"), "text")
+
+
+@query(f"with {PAGES} select doc_id, page_no, chunk_count, round(hr, 2) heading_ratio, short short_chunk_count, reasons from al where reasons <> ''")
+def a3_page_alerts(spark, sf):
+    p = audit.page_alerts(_audited(spark, sf))
+    return p.select("doc_id", F.col("page_no").cast("long").alias("page_no"), "chunk_count", "heading_ratio", "short_chunk_count", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(
+    f"""with {PAGES}, k as (select doc_id, count(*) chunk_count, case when doc_id % 3 = 0 then 2 else max(page_no) end page_count from a group by doc_id), c as (select doc_id, count(*) filter (where reasons <> '') n, count(*) filter (where contains(reasons, 'high_heading_ratio')) h, count(*) filter (where contains(reasons, 'many_short_chunks')) s from al group by doc_id),
+    z as (select k.doc_id, page_count, chunk_count, round(chunk_count / page_count, 2) chunk_page_ratio, coalesce(n, 0) alerted_pages, concat_ws(',', case when chunk_count / page_count >= 12 then 'critical_chunk_page_ratio' when chunk_count / page_count >= 8 then 'high_chunk_page_ratio' end, case when h >= 2 then 'repeated_heading_heavy_pages' end, case when s >= 2 then 'repeated_short_chunk_pages' end) reasons from k left join c using (doc_id))
+    select * from z where reasons <> ''"""
+)
+def a5_document_alerts(spark, sf):
+    manifest = read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, 2).otherwise(0).alias("page_count")).where("doc_id % 2 = 0 or doc_id % 3 = 0")
+    d = audit.document_alerts(_audited(spark, sf), manifest)
+    return d.select("doc_id", F.col("page_count").cast("long").alias("page_count"), "chunk_count", "chunk_page_ratio", "alerted_pages", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"with {AUDIT_CHUNKS}, r as (select count(*) / max(page_no) ratio from a group by doc_id) select count(*) document_count, round(min(ratio), 2) min, round(median(ratio), 2) p50, round(avg(ratio), 2) mean, round(max(ratio), 2) max from r")
+def a6_ratio_summary(spark, sf):
+    return audit.ratio_summary(_audited(spark, sf))
+
+
+@query("select count(*) scanned, count(*) filter (where page_id % 9 > 0) success, count(*) filter (where page_id % 9 = 0) failed from pages")
+def a8_ingest_totals(spark, sf):
+    return audit.ingest_totals(read(spark, sf, "pages").select(F.when(F.col("page_id") % 9 == 0, "failed").otherwise("success").alias("status")))
+
+
