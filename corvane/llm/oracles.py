@@ -1,3 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_topk": """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) e from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id query_id, c.vec_id vec_id, cast(list_inner_product(q.e, c.e) as bigint) score from v q, v c where q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+    r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank, vec_id, score from s) select * from r where rank <= 20""",
+}
