@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm import resemblance
 from corvane.llm.common import fresh, map_batches, prepare
 from corvane.llm.components import components
 
@@ -215,19 +216,20 @@ def labelled(fps: DataFrame, radius: int, *, bands: int | None = None, split_at:
     return fps.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
 
 
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 9, bands: int | None = 5) -> DataFrame:
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (rows without id after all others),
     then of the smallest text hash; of rows that agree in both, any one. All columns pass.
 
-    The defaults are five words and the distance expected at a resemblance of 0.8: its cosine is about 0.89, an
-    angle of 0.15 pi, of which 64 random hyperplanes separate nine or ten.
+    Links are all pairs whose sets of shingles have a Jaccard similarity of ``least`` or more, found by ``resemblance``. A
+    distance of 64-bit fingerprints can't stand for it: a pair at 0.8 is expected at ten bits but often lies above, while
+    unlike texts lie below; and at a radius wide enough for all, unrelated texts meet in numbers that grow as the
+    square of the table.
     """
     prepare(docs.sparkSession)
     d, h = fresh(docs.columns, "row_key", "row_hash")
     # far above any id, apart from each other
     no_id = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(F.col(text), F.lit(1)), F.lit(1 << 40))
     keyed = docs.withColumn(d, F.coalesce(F.col(key).cast("long"), no_id)).withColumn(h, F.xxhash64(F.col(text)))
-    src = keyed.select(F.struct(F.col(d).alias("d"), F.col(h).alias("h")).alias("k"), F.col(text).alias("t"))
-    fps = fingerprints(src, key="k", text="t", shingle=shingle).checkpoint()
-    kept = labelled(fps, radius, bands=bands).groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.d").alias(d), F.col("k.h").alias(h)).distinct()
+    src = keyed.select(F.struct(F.col(d).alias("d"), F.col(h).alias("h")).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    kept = resemblance.rooted(src, least=least, shingle=shingle).groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.d").alias(d), F.col("k.h").alias(h)).distinct()
     return keyed.join(kept, [d, h], "left_semi").dropDuplicates([d, h]).select(*docs.columns)

@@ -1,0 +1,66 @@
+"""Cases that operators once left out."""
+
+import random
+from fractions import Fraction
+
+import numpy as np
+from corvane.llm import resemblance, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    """rows: (id, text, source)"""
+    return spark.createDataFrame([(i, t, None, s, len(t) if t is not None else None) for i, t, s in rows], SCHEMA)
+
+
+def word_sets(text, k=5):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_duplicates_by_similarity(spark, monkeypatch):
+    """All pairs at 0.8 or more are linked, whatever their fingerprints, and no others."""
+    monkeypatch.setattr(resemblance, "CELLS", 64)
+    rng = random.Random(3)
+    phrase = " ".join(f"p{i}" for i in range(12))  # frequent shingles
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([30, 100, 300]))]
+        texts.append(" ".join(words) + " " + phrase)
+        for changes in (1, 2, 3, len(words) // 50, len(words) // 40, len(words) // 20):
+            other = list(words)
+            for _ in range(changes):
+                other[rng.randrange(len(other))] = f"x{rng.randint(0, 10**6)}"
+            texts.append(" ".join(other[: rng.choice([len(words), len(words) - 8])]) + " " + phrase)
+    texts += ["", " ", "one two", "One  two", "one three"]
+    own = [word_sets(t) for t in texts]
+    pairs = {(i, j) for i in range(len(own)) for j in range(i) if jaccard(own[i], own[j]) >= 0.8}
+    far = [p for p in pairs if (simhash.fingerprint(texts[p[0]], 5) ^ simhash.fingerprint(texts[p[1]], 5)).bit_count() > 9]
+    assert far  # the radius that was once taken for the similarity
+    root = list(range(len(texts)))
+    for i, j in sorted(pairs) * 8:
+        root[i] = root[j] = min(root[i], root[j])
+    got = simhash.one_of_each(docs(spark, [(i, t, None) for i, t in enumerate(texts)]))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng, least = np.random.default_rng(1), Fraction(4, 5)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 400, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 400, 3).astype(np.uint64)]))
+        frequent = np.unique(rng.integers(0, 400, 100).astype(np.uint64))
+        if not resemblance.similar(a, b, least):
+            continue
+        x, y = resemblance.prefix(a, frequent, least).tolist(), resemblance.prefix(b, frequent, least).tolist()
+        shared = [s for s in x if s in y]
+        size, at = np.array([len(a), len(b)]), lambda s: np.array([x.index(s), y.index(s)])
+        assert any(list(resemblance.meet(np.array([1, 2]), size, at(s), least)) for s in shared)
+        apart = np.abs(np.frombuffer(resemblance.counts(a), "<u2").astype(int) - np.frombuffer(resemblance.counts(b), "<u2").astype(int)).sum()
+        assert apart <= len(np.setxor1d(a, b))
