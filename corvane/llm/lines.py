@@ -4,11 +4,13 @@ A line's place in the tree is its number of tokens, then its ``lead`` leading to
 (those with a digit, addresses, hexadecimal strings) generalised to a wildcard. Its templates are all its tokens
 generalised so and, for lines of ``wild_from`` tokens or more, the three templates in which one third of the tokens
 behind the leading ones is a wildcard as a whole: lines at one leaf that differ in one field region have a template
-in common. All are 64-bit hashes, so a leaf is never collected: templates are counted by one aggregation.
+in common. A template without any constant token would stand for every row of as many numbers; in its place a line has
+all its tokens as they are. All are 64-bit hashes, so a leaf is never collected: templates are counted by one aggregation.
 
 A template recurs if lines of at least two documents have it. A line of a recurring template is dropped, unless its
 document is the first (smallest id) that has the template: so one occurrence of everything stays, and a document
-that shares nothing stays as it is. Lines of fewer than ``least`` tokens are no log lines and always stay.
+that shares nothing stays as it is. Lines of fewer than ``least`` tokens always stay; with ``least`` 1, as the query and
+the pipeline have it, only lines without tokens do.
 
 Documents are told apart by id; rows of one id are one document, rows without id one more, after all others. Null
 and empty texts stay as they are. All columns pass; n_chars, if there, is set to the new length where lines went.
@@ -34,22 +36,28 @@ LAST = (1 << 63) - 1
 
 
 def templates(line: bytes, lead: int = 4, least: int = 5, wild_from: int = 12) -> list[int]:
-    """Hashes (signed) of the templates a line has; none for a line that is too short."""
-    tokens = line.split()
+    """Hashes (signed) of the templates a line has; none for a line that is too short or blank."""
+    tokens = own = line.split()
     n = len(tokens)
-    if n < least:
+    if n < max(1, least):
         return []
     if _VARIABLE.search(line) or n != line.count(b" ") + 1:
         tokens = [WILD if _VARIABLE.search(t) else t for t in tokens]
     h = xxhash.xxh3_64_intdigest
     leaf = h(b"%d " % n + b" ".join(tokens[:lead]))
     rest = tokens[lead:]
-    if n < wild_from:
+    if tokens is not own and all(t == WILD for t in tokens):
+        out = [h(b" ".join(own), n)]
+    elif n < wild_from:
         out = [h(b" ".join(rest), leaf)]
     else:
         m = len(rest)
         a, b, c = (h(b" ".join(rest[m * i // 3 : m * (i + 1) // 3]), leaf + i & LAST) for i in range(3))
         out = [(x * 0x9E3779B97F4A7C15 ^ y * 0xC2B2AE3D27D4EB4F) % 2**64 for x, y in ((a, b), (b, c), (c + 1, a))]
+        if tokens is not own and all(t == WILD for t in tokens[:lead]):
+            wild = [all(t == WILD for t in rest[m * i // 3 : m * (i + 1) // 3]) for i in range(3)]
+            exact = h(b" ".join(own), n)
+            out = [exact if wild[i] and wild[j] else x for x, (i, j) in zip(out, ((0, 1), (1, 2), (2, 0)))]
     return [x - (1 << 64) if x > LAST else x for x in out]
 
 

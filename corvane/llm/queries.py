@@ -45,7 +45,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text that stays, lines dropped."""
-    out = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_dropped")
+    out = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_dropped", least=1)
     return out.select("doc_id", "n_dropped", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -3,8 +3,9 @@
 import random
 from fractions import Fraction
 
+import corpus_pipeline
 import numpy as np
-from corvane.llm import resemblance, simhash
+from corvane.llm import lines, resemblance, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,3 +65,18 @@ def test_prefixes_of_similar_sets_meet():
         assert any(list(resemblance.meet(np.array([1, 2]), size, at(s), least)) for s in shared)
         apart = np.abs(np.frombuffer(resemblance.counts(a), "<u2").astype(int) - np.frombuffer(resemblance.counts(b), "<u2").astype(int)).sum()
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_short_lines_and_number_rows(spark):
+    """Short boilerplate is dropped from all but its first document; rows of unlike numbers are no repeats."""
+    rows = [
+        (1, "All rights reserved.\nalpha one\n\n12 45 33 21 9", None),
+        (2, "beta two\nAll rights reserved.\n\n7 8 1 2 3\nPage 3", None),
+        (3, "Page 4\nAll rights reserved.\n12 45 33 21 9\n4", None),
+        (4, "5\n\n" + " ".join(map(str, range(20))) + "\n" + "1 2 3 4 5 6 7 8 word 10 11 12", None),
+        (5, "6\n\n" + " ".join(map(str, range(1, 21))) + "\n" + "9 2 3 4 5 6 7 8 other 10 11 12", None),
+    ]
+    data = docs(spark, rows)
+    want = {1: rows[0][1], 2: "beta two\n\n7 8 1 2 3\nPage 3", 3: "4", 4: rows[3][1], 5: rows[4][1]}
+    for out in (lines.drop_lines(data, least=1), corpus_pipeline.drop_lines(spark, data, "")):
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == want
