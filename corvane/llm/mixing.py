@@ -2,10 +2,10 @@
 
 Targets: each source's weight times one common level, stopped at ``most_repeats`` times the source's size, where the
 level shares out exactly the total (water filling: excess goes to the sources below their stop by
-weight until none is above). Blocks: the total is cut into ``blocks`` equal-token blocks (fewer, if there are fewer
-words), which are apportioned to sources by the highest quotients target / (2 n + 1); the rank of a quotient, modulo
-the number of shards, is the shard that gets the block, so every shard has integer quotas that follow the
-targets. Selection: a source's documents lie in seeded order on a line of its words, again and again if its quota
+weight until none is above). Blocks: the total is cut into blocks of one word (or into ``blocks`` equal ones), which are
+apportioned to sources by the highest quotients target / (2 n + 1). Only seats near a source's share are in doubt and
+sorted; those below them are its own, so the work doesn't grow with the total. Blocks are dealt to the
+shards in turn, source after source, so every shard has integer quotas that follow the targets. Selection: a source's documents lie in seeded order on a line of its words, again and again if its quota
 is above its size; a document is taken as often as its words are covered by the quota. No document is ever
 taken more than ``most_repeats`` times.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import WORD_SQL, fresh, prepare
 
-BLOCKS, RANGES = 65_536, 256
+RANGES = 256
 
 
 def sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -49,25 +49,34 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats
     return filled.select("s", "rank", "w", "source_size", F.least(F.col("stop").cast("double"), F.col("w") * F.col("level")).alias("target"))
 
 
-def apportion(wanted: DataFrame, total: int, blocks: int = BLOCKS, shards: int = 64) -> DataFrame:
-    """(s, source_size, target, block, quota) with quotas array<struct<shard, n>>: Sainte-Lague seats of each source, and how many of them fall to each shard."""
-    n = max(1, min(blocks, total))
-    sources = wanted.withColumn("n_sources", F.count("*").over(Window.partitionBy()))
-    # No source gets more seats than its rounded share and one for each source.
-    most = F.least(F.lit(n), F.ceil(F.col("target") * n / max(1, total)) + F.col("n_sources"))
-    seats = sources.where("target > 0").select("s", "rank", "target", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long") - 1)).alias("seat"))
-    ranked = seats.select("s", F.row_number().over(Window.orderBy((F.col("target") / (2 * F.col("seat") + 1)).desc(), "rank", "seat")).alias("at")).where(F.col("at") <= n)
-    quotas = ranked.groupBy("s", ((F.col("at") - 1) % shards).alias("shard")).agg(F.count("*").alias("n")).groupBy("s").agg(F.sum("n").alias("quota"), F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("quotas"))
+def apportion(wanted: DataFrame, total: int, blocks: int | None = None, shards: int = 64) -> DataFrame:
+    """(s, source_size, target, quota, quotas, total, n) with quotas array<struct<shard, n>>: Sainte-Lague seats of each source among n, and how many of them fall to each shard."""
+    n = max(1, min(blocks or total, total))
+    sources = wanted.withColumn("n_sources", F.count("*").over(Window.partitionBy())).withColumn("share", F.col("target") * n / max(1, total))
+    # Seats are shares over a common divisor, rounded. Rounding moves their sum by half a seat for each source at most, so the
+    # divisor is within n_sources / (2 n) of one, and seats within as much of the share, and two.
+    margin = F.col("share") * F.col("n_sources") / (2 * n) + 2
+    sources = sources.withColumn("sure", F.greatest(F.lit(0), F.floor(F.col("share") - margin)).cast("long")).withColumn("most", F.ceil(F.col("share") + margin).cast("long"))
+    sources = sources.withColumn("doubtful", F.lit(n) - F.sum(F.when(F.col("target") > 0, F.col("sure")).otherwise(0)).over(Window.partitionBy()))
+    seats = sources.where("target > 0").select("s", "rank", "target", "sure", "doubtful", F.explode(F.sequence("sure", F.col("most") - 1)).alias("seat"))
+    ranked = seats.withColumn("at", F.row_number().over(Window.orderBy((F.col("target") / (2 * F.col("seat") + 1)).desc(), "rank", "seat")))
+    won = ranked.groupBy("s", "rank").agg((F.first("sure") + F.count_if(F.col("at") <= F.col("doubtful"))).alias("quota")).where("quota > 0")
+    won = won.withColumn("from", F.coalesce(F.sum("quota").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # of the places from, from + 1, ... below from + quota, those that are shard modulo shards
+    share = lambda shard: (F.floor((F.col("from") + F.col("quota") - 1 - shard) / shards) - F.floor((F.col("from") - 1 - shard) / shards)).cast("long")
+    dealt = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda x: F.struct(x.alias("shard"), share(x).alias("n"))), lambda q: q["n"] > 0)
+    quotas = won.select("s", "quota", dealt.alias("quotas"))
     joined = wanted.alias("w").join(quotas.alias("q"), F.col("w.s").eqNullSafe(F.col("q.s")), "left")
     return joined.select("w.s", "source_size", "target", F.coalesce("quota", F.lit(0)).alias("quota"), "quotas", F.lit(total).alias("total"), F.lit(n).alias("n"))
 
 
-def _taken(sizes: DataFrame, weights: tuple[int, ...], most_repeats: int, blocks: int, ranges: int) -> DataFrame:
+def _taken(sizes: DataFrame, weights: tuple[int, ...], most_repeats: int, blocks: int | None, ranges: int) -> DataFrame:
     """``sizes`` (k, s, size, h) with source_size, target, passes (whole passes over the source) and over (words of one more)."""
     total = sizes.agg(F.sum("size")).first()[0] or 0
     plan = apportion(targets(sizes, weights, most_repeats), total, blocks)
     # words that a source's quota covers, in whole words; its blocks come to total / n words each
-    words = F.least((F.col("quota") * F.col("total") / F.col("n")).cast("long"), F.col("source_size") * most_repeats)
+    covered = F.when(F.col("n") == F.col("total"), F.col("quota")).otherwise((F.col("quota").cast("decimal(19,0)") * F.col("total").cast("decimal(19,0)") / F.col("n")).cast("long"))
+    words = F.least(covered, F.col("source_size") * most_repeats)
     plan = plan.select("s", "source_size", "target", words.alias("words"))
     plan = plan.select("*", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).alias("passes"))
     plan = plan.select("*", (F.col("words") - F.col("passes") * F.col("source_size")).alias("rest"))
@@ -82,7 +91,7 @@ def _taken(sizes: DataFrame, weights: tuple[int, ...], most_repeats: int, blocks
     return joined.select("k", "a.s", "size", "source_size", "target", "passes", over.alias("over"))
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, blocks: int = BLOCKS, ranges: int = RANGES, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, blocks: int | None = None, ranges: int = RANGES, seed: int = 17) -> DataFrame:
     """key, source, size, source_size, target, taken (words the mix takes, repeats counted): a row for each row of ``docs``."""
     prepare(docs.sparkSession)
     # the texts are read once; sizes, a few bytes a row, go to the checkpoint folder
@@ -91,7 +100,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     return out.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("over")).cast("long").alias("taken"))
 
 
-def repeat(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, blocks: int = BLOCKS, ranges: int = RANGES, seed: int = 17) -> DataFrame:
+def repeat(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, blocks: int | None = None, ranges: int = RANGES, seed: int = 17) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all its columns.
 
     A document in which a source's quota ends is taken once more if at least half of its words are covered;

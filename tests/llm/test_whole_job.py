@@ -5,7 +5,8 @@ from fractions import Fraction
 
 import corpus_pipeline
 import numpy as np
-from corvane.llm import lines, resemblance, simhash
+from corvane.llm import lines, mixing, resemblance, simhash
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -80,3 +81,29 @@ def test_short_lines_and_number_rows(spark):
     want = {1: rows[0][1], 2: "beta two\n\n7 8 1 2 3\nPage 3", 3: "4", 4: rows[3][1], 5: rows[4][1]}
     for out in (lines.drop_lines(data, least=1), corpus_pipeline.drop_lines(spark, data, "")):
         assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+
+
+def test_small_sources_of_large_mixes_get_their_target(spark):
+    """At 5e9 words, sources far below a 65536th of the total are apportioned to within a word, and in shards."""
+    sizes = [3_000_000_000, 1_999_000_000, 900_000, 12_000, 3_000, 40, 1, 0, 87_959]
+    rows = [(f"s{i}", n) for i, n in enumerate(sizes)]
+    total = sum(sizes)
+    wanted = mixing.targets(spark.createDataFrame(rows, "s string, size long"))
+    got = mixing.apportion(wanted, total).collect()
+    assert sum(r["quota"] for r in got) == total == got[0]["n"]
+    shard = dict.fromkeys(range(64), 0)
+    for r in got:
+        assert abs(r["quota"] - r["target"]) <= 1
+        assert sum(q["n"] for q in r["quotas"] or []) == r["quota"]
+        assert all(abs(q["n"] - r["quota"] / 64) < 1 for q in r["quotas"] or [])
+        for q in r["quotas"] or []:
+            shard[q["shard"]] += q["n"]
+    assert max(shard.values()) - min(shard.values()) <= 1
+
+
+def test_small_source_stays_in_the_mix(spark):
+    rows = [(i, "w " * 60_000, "large") for i in range(60)] + [(100 + i, "v " * 3, "small") for i in range(3)]
+    data = docs(spark, rows)
+    taken = {r["source"]: r["t"] for r in mixing.mix(data).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    assert taken == {"large": 3_600_009 - 27, "small": 27}
+    assert mixing.repeat(data).where("source = 'small'").count() == 9
