@@ -329,10 +329,15 @@ def v10_l9_plans(spark, sf):
     """Resolved, planned and enriched queries of each user turn, with the messages before it."""
     from pyspark.sql import Window
 
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    t = read(spark, sf, "conversations").withColumn("messages", F.slice(F.collect_list(F.coalesce("text", F.lit(""))).over(before), 1, 10000)).where("role = 'user'")
+    said = F.coalesce("text", F.lit(""))
+    turns = Window.partitionBy("conv_id").orderBy("turn")
+    before = turns.rowsBetween(Window.unboundedPreceding, -1)
+    # of all earlier messages resolve() takes the latest entity, of the last six the times: both are carried along in turn order
+    entity = F.coalesce(dialogue.alias(said, 0), F.try_element_at(dialogue.entities(said), F.lit(1)))
+    t = read(spark, sf, "conversations").withColumn("said", said).withColumn("entity", entity)
+    t = t.withColumn("messages", F.collect_list("said").over(turns.rowsBetween(-6, -1))).withColumn("earlier", F.last("entity", ignorenulls=True).over(before)).where("role = 'user'")
     none = F.lit(None)
-    state = t.select("conv_id", "turn", F.col("text").alias("user_query"), "messages", none.cast("string").alias("last_entity"), none.cast("string").alias("conversation_anchor"), none.cast("array<string>").alias("recent"))
+    state = t.select("conv_id", "turn", F.col("text").alias("user_query"), "messages", none.cast("string").alias("last_entity"), F.col("earlier").alias("conversation_anchor"), none.cast("array<string>").alias("recent"))
     r = dialogue.resolve(state).select("*", none.cast("struct<entity:string,product:string,topic:string>").alias("topic"), none.cast("struct<metric_scope:array<string>,aspect_scope:array<string>,comparison_target:string,output_style:string,dialogue_referents:array<string>>").alias("last_context"), none.cast("string").alias("conversation_summary"), none.cast("int").alias("top_k"), none.cast("boolean").alias("tables_only"))
     p = dialogue.plan(r)
     return p.select("conv_id", "turn", "resolved_query", "follow_up", "plan.intent", "plan.top_k", dialogue.search_query(F.col("resolved_query"), F.col("plan")).alias("search_query"))
