@@ -2,8 +2,9 @@
 
 Strong parts are found on their own: ``assign`` (a value assigned to a name that says it is secret),
 ``access`` (an access-key identifier) and ``hex`` (a long hexadecimal string). Weak parts mean nothing
-alone: ``ident`` (user names, client and account ids), ``opaque`` (a 40-character mixed string with no
-name) and ``endpoint`` (URL, host:port, or resource name). An interval join within each text links
+alone: ``ident`` (user names, client and account ids), ``opaque`` (a mixed string of 20 characters or more with no
+name, or with one that says nothing), ``endpoint`` (URL, host:port, or resource name) and ``keyed`` (a value assigned
+to a name such as secret_access_key, which the strong names don't cover). An interval join within each text links
 parts: a part's interval is its span widened by ``reach`` code points, cut at the scope it lies in
 (scopes end at blank lines), and two parts are linked when one's interval meets the other's span.
 Parts that are linked together form a credential; a weak part is reported only in a credential whose
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,13 +28,14 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import map_batches, prepare
 
-KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
+KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint", "keyed")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a maximal run, as of [0-9a-f]+, with its least length
 IDENT = re.compile(r"""(?:user(?:name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.I | re.A)
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
+KEYED = re.compile(r"""(?:(?:secret|private|auth|account|storage|shared|encryption|signing|master)_?(?:access_?)?key|(?<![A-Za-z0-9])access_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""", re.I | re.A)
 ENDPOINT = re.compile(r"(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s\"'<>|]+|arn:aws[A-Za-z-]*:[^\s\"'<>]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.amazonaws\.com", re.A)
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 _SCHEMES = ("://", "arn:aws", "amazonaws")
@@ -53,14 +56,24 @@ def strong_spans(text: str) -> list[Span]:
     return out
 
 
-def weak_spans(text: str) -> list[Span]:
+def weak_spans(text: str, strong: list[Span]) -> list[Span]:
     out: list[Span] = []
     low = text.lower()
     if any(x in low for x in _NAMES):
         out += [(m.start(), m.end(), "ident") for m in IDENT.finditer(text)]
     if any(x in text for x in _SCHEMES):
         out += [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
-    out += [(m.start(), m.end(), "opaque") for m in OPAQUE.finditer(text)]
+    if "key" in low:
+        out += [(m.start(), m.end(), "keyed") for m in KEYED.finditer(text)]
+    # a value that another kind has already is no further part, but for the plain form of 40 characters
+    taken = sorted((a, b) for a, b, _ in out + strong)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    for m in OPAQUE.finditer(text):
+        a, b = m.span()
+        at = bisect_left(starts, b)
+        plain = b - a == 40 and not m[0].endswith("=") and text[a - 1 : a] != "="
+        if plain or not at or ends[at - 1] <= a:
+            out.append((a, b, "opaque"))
     return out
 
 
@@ -82,7 +95,7 @@ def link(text: str, parts: list[Span], reach: int) -> list[list[Span]]:
 
 def complementary(kinds: set[str]) -> bool:
     """Whether the parts together could open something: a secret with whom or where it is for."""
-    if kinds & {"assign", "hex"}:
+    if kinds & {"assign", "hex", "keyed"}:
         return bool(kinds & {"access", "ident", "endpoint"})
     return "opaque" in kinds and ("access" in kinds or {"ident", "endpoint"} <= kinds)
 
@@ -92,7 +105,7 @@ def scan(text: str, reach: int = 200) -> tuple[list[Span], list[Span], list[list
     strong = strong_spans(text)
     by = lambda s: (s[0], ORDER[s[2]], s[1])
     strong.sort(key=by)
-    weak = weak_spans(text)
+    weak = weak_spans(text, strong)
     if not weak and len(strong) < 2:
         return strong, strong, []
     found = [g for g in link(text, strong + weak, reach) if len(g) > 1 and complementary({k for _, _, k in g})]
