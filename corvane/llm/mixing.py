@@ -2,34 +2,44 @@
 
 Targets: each source's weight times one common level, stopped at ``most_repeats`` times the source's size, where the
 level shares out exactly the total (water filling: excess goes to the sources below their stop by
-weight until none is above). Blocks: the total is cut into blocks of one word (or into ``blocks`` equal ones), which are
-apportioned to sources by the highest quotients target / (2 n + 1). Only seats near a source's share are in doubt and
-sorted; those below them are its own, so the work doesn't grow with the total. Blocks are dealt to the
-shards in turn, source after source, so every shard has integer quotas that follow the targets. Selection: a source's documents lie in seeded order on a line of its words, again and again if its quota
-is above its size; a document is taken as often as its words are covered by the quota. No document is ever
-taken more than ``most_repeats`` times.
-
-The running sums along a source are made in two steps (sums of seeded ranges of documents, then within a range), so a
-source with a third of all rows is spread over many tasks. Order and quotas depend on ids, sizes and the seed
-alone: reruns agree.
-
-Null texts have size 0 and take 0; null sources are a source of their own, last; repeated rows each count. An empty
-table gives an empty one. Sources, not documents, are what one window sorts: their number is the bound.
+weight until none is above).
+
+Quotas: the total is cut into blocks of ``block`` words (one, unless told otherwise), apportioned to sources by the highest
+quotients target / (2 n + 1). A source's documents lie in seeded shards, and its blocks are apportioned once more, to those
+shards, by the highest quotients of the source's words there; so every shard has an integer quota of each source, never above
+``most_repeats`` times the words it has of it. Seats below those in doubt are a claimant's own, so only a few for
+each claimant are sorted, whatever the total.
+
+Selection, in each shard by itself: a source's documents lie in seeded order on a line of its words, cut into blocks, again and
+again if the quota is above the line's length; a document is taken as often as its words are covered by the quota. No
+document is ever taken more than ``most_repeats`` times.
+
+A source with a third of all rows is spread over all shards, whose number grows with the table (``rows_per_shard``).
+Order and quotas depend on ids, sizes and the seed alone: reruns agree.
+
+Null texts have size 0 and take 0; null sources are a source of their own, last; null ids and repeated rows each count; texts of any
+length are counted whole; ties are broken by id and size. Other columns play no part in ``mix``, whatever their names; ``repeat``
+passes them all. An empty table gives an empty one. One window sorts a few rows for each source, never documents: the
+number of sources is its bound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import WORD_SQL, fresh, prepare
 
-RANGES = 256
+ROWS_PER_SHARD = 200_000
+LEAST_SHARDS = 64
 
 
-def sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(k, s, size): words of each row."""
-    return docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_SQL)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    """(k, s, size, h): words of each row, and its seeded place."""
+    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_SQL)), F.lit(0)).cast("long")
+    sizes = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), words.alias("size"))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("k").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
+    return sizes.withColumn("h", F.conv(F.substring(h, 1, 15), 16, 10).cast("long"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3) -> DataFrame:
@@ -49,70 +59,74 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats
     return filled.select("s", "rank", "w", "source_size", F.least(F.col("stop").cast("double"), F.col("w") * F.col("level")).alias("target"))
 
 
-def apportion(wanted: DataFrame, total: int, blocks: int | None = None, shards: int = 64) -> DataFrame:
-    """(s, source_size, target, quota, quotas, total, n) with quotas array<struct<shard, n>>: Sainte-Lague seats of each source among n, and how many of them fall to each shard."""
-    n = max(1, min(blocks or total, total))
-    sources = wanted.withColumn("n_sources", F.count("*").over(Window.partitionBy())).withColumn("share", F.col("target") * n / max(1, total))
-    # Seats are shares over a common divisor, rounded. Rounding moves their sum by half a seat for each source at most, so the
-    # divisor is within n_sources / (2 n) of one, and seats within as much of the share, and two.
-    margin = F.col("share") * F.col("n_sources") / (2 * n) + 2
-    sources = sources.withColumn("sure", F.greatest(F.lit(0), F.floor(F.col("share") - margin)).cast("long")).withColumn("most", F.ceil(F.col("share") + margin).cast("long"))
-    sources = sources.withColumn("doubtful", F.lit(n) - F.sum(F.when(F.col("target") > 0, F.col("sure")).otherwise(0)).over(Window.partitionBy()))
-    seats = sources.where("target > 0").select("s", "rank", "target", "sure", "doubtful", F.explode(F.sequence("sure", F.col("most") - 1)).alias("seat"))
-    ranked = seats.withColumn("at", F.row_number().over(Window.orderBy((F.col("target") / (2 * F.col("seat") + 1)).desc(), "rank", "seat")))
-    won = ranked.groupBy("s", "rank").agg((F.first("sure") + F.count_if(F.col("at") <= F.col("doubtful"))).alias("quota")).where("quota > 0")
-    won = won.withColumn("from", F.coalesce(F.sum("quota").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # of the places from, from + 1, ... below from + quota, those that are shard modulo shards
-    share = lambda shard: (F.floor((F.col("from") + F.col("quota") - 1 - shard) / shards) - F.floor((F.col("from") - 1 - shard) / shards)).cast("long")
-    dealt = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda x: F.struct(x.alias("shard"), share(x).alias("n"))), lambda q: q["n"] > 0)
-    quotas = won.select("s", "quota", dealt.alias("quotas"))
-    joined = wanted.alias("w").join(quotas.alias("q"), F.col("w.s").eqNullSafe(F.col("q.s")), "left")
-    return joined.select("w.s", "source_size", "target", F.coalesce("quota", F.lit(0)).alias("quota"), "quotas", F.lit(total).alias("total"), F.lit(n).alias("n"))
-
-
-def _taken(sizes: DataFrame, weights: tuple[int, ...], most_repeats: int, blocks: int | None, ranges: int) -> DataFrame:
-    """``sizes`` (k, s, size, h) with source_size, target, passes (whole passes over the source) and over (words of one more)."""
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    plan = apportion(targets(sizes, weights, most_repeats), total, blocks)
-    # words that a source's quota covers, in whole words; its blocks come to total / n words each
-    covered = F.when(F.col("n") == F.col("total"), F.col("quota")).otherwise((F.col("quota").cast("decimal(19,0)") * F.col("total").cast("decimal(19,0)") / F.col("n")).cast("long"))
-    words = F.least(covered, F.col("source_size") * most_repeats)
-    plan = plan.select("s", "source_size", "target", words.alias("words"))
-    plan = plan.select("*", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).alias("passes"))
-    plan = plan.select("*", (F.col("words") - F.col("passes") * F.col("source_size")).alias("rest"))
-    placed = sizes.withColumn("r", F.pmod("h", F.lit(ranges)))
-    sums = placed.groupBy("s", "r").agg(F.sum("size").alias("sum"))
-    starts = sums.select("s", "r", (F.sum("sum").over(Window.partitionBy("s").orderBy("r")) - F.col("sum")).alias("start"))
-    starts = starts.alias("a").join(plan.alias("p"), F.col("a.s").eqNullSafe(F.col("p.s"))).select("a.s", "r", "start", "source_size", "target", "passes", "rest")
-    within = Window.partitionBy("s", "r").orderBy("h", "k", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lined = placed.withColumn("upto", F.sum("size").over(within))
-    joined = lined.alias("a").join(starts.alias("b"), F.col("a.s").eqNullSafe(F.col("b.s")) & (F.col("a.r") == F.col("b.r")))
-    over = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("start") + F.col("upto") - F.col("size"))))
-    return joined.select("k", "a.s", "size", "source_size", "target", "passes", over.alias("over"))
-
-
-def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, blocks: int | None = None, ranges: int = RANGES, seed: int = 17) -> DataFrame:
-    """key, source, size, source_size, target, taken (words the mix takes, repeats counted): a row for each row of ``docs``."""
+def sainte_lague(claims: DataFrame, group: list[str], by: str, weight: str, seats: Column, keep: list[str]) -> DataFrame:
+    """group, by, keep and quota of each claim: of a group's ``seats`` those with the highest quotients weight / (2 n + 1), ties to the smaller ``by``.
+
+    Seats are weights over a common divisor, rounded. Rounding moves their sum by half a seat for each claimant at most, so they
+    are within share * claimants / (2 seats), and two, of the share: only those are ranked, some five for each claimant.
+    """
+    whole = Window.partitionBy(*group)
+    shared = claims.where(F.col(weight) > 0).select(*group, by, weight, *keep, seats.alias("seats"))
+    shared = shared.withColumn("share", F.col(weight) / F.sum(weight).over(whole) * F.col("seats"))
+    margin = F.col("share") * F.count("*").over(whole) / (2 * F.greatest(F.lit(1), F.col("seats"))) + 2
+    bounds = shared.withColumn("margin", margin).withColumn("sure", F.greatest(F.lit(0), F.floor(F.col("share") - F.col("margin"))).cast("long"))
+    bounds = bounds.withColumn("doubtful", F.col("seats") - F.sum("sure").over(whole))
+    last = F.ceil(F.col("share") + F.col("margin")).cast("long") - 1
+    each = bounds.select(*group, by, weight, *keep, "sure", "doubtful", F.explode(F.sequence("sure", last)).alias("seat"))
+    ranked = each.withColumn("at", F.row_number().over(whole.orderBy((F.col(weight) / (2 * F.col("seat") + 1)).desc(), by, "seat")))
+    won = F.first("sure") + F.count_if(F.col("at") <= F.col("doubtful"))
+    return ranked.groupBy(*group, by, *keep).agg(won.alias("quota"))
+
+
+def quotas(sizes: DataFrame, shards: int, total: int, weights: tuple[int, ...], most_repeats: int, block: int) -> DataFrame:
+    """(s, shard, shard_size, source_size, target, words): the words that the mix takes of each source in each shard of rows (s, size, h)."""
+    # small tables, used more than once
+    per = sizes.groupBy("s", F.pmod("h", F.lit(shards)).alias("shard")).agg(F.sum("size").alias("shard_size")).checkpoint()
+    wanted = targets(per.select("s", F.col("shard_size").alias("size")), weights, most_repeats).checkpoint()
+    won = sainte_lague(wanted, [], "rank", "target", F.lit(total // block), ["s", "source_size"]).select("s", F.least(F.col("quota"), F.floor(F.col("source_size") * most_repeats / block)).alias("blocks"))
+    claims = per.alias("a").join(won.alias("b"), F.col("a.s").eqNullSafe(F.col("b.s"))).select("a.s", "shard", "shard_size", "blocks")
+    dealt = sainte_lague(claims, ["s"], "shard", "shard_size", F.col("blocks"), [])
+    has = per.alias("a").join(wanted.alias("w"), F.col("a.s").eqNullSafe(F.col("w.s"))).select("a.s", "shard", "shard_size", "source_size", "target")
+    both = has.alias("a").join(dealt.alias("d"), F.col("a.s").eqNullSafe(F.col("d.s")) & (F.col("a.shard") == F.col("d.shard")), "left")
+    return both.select("a.s", "a.shard", "shard_size", "source_size", "target", F.least(F.coalesce("quota", F.lit(0)) * block, F.col("shard_size") * most_repeats).alias("words"))
+
+
+def _taken(sizes: DataFrame, weights: tuple[int, ...], most_repeats: int, block: int, rows_per_shard: int) -> DataFrame:
+    """``sizes`` (k, s, size, h) with shard, source_size, target, passes (whole passes over the shard's line) and over (words of one more)."""
+    row = sizes.agg(F.sum("size").alias("total"), F.count("*").alias("n")).first()
+    shards = max(LEAST_SHARDS, -(-row["n"] // rows_per_shard))
+    plan = quotas(sizes, shards, row["total"] or 0, weights, most_repeats, block)
+    plan = plan.withColumn("passes", F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0))
+    plan = plan.withColumn("rest", F.col("words") - F.col("passes") * F.col("shard_size"))
+    line = Window.partitionBy("s", "shard").orderBy("h", "k", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lined = sizes.withColumn("shard", F.pmod("h", F.lit(shards))).withColumn("upto", F.sum("size").over(line))
+    joined = lined.alias("a").join(plan.alias("b"), F.col("a.s").eqNullSafe(F.col("b.s")) & (F.col("a.shard") == F.col("b.shard")))
+    over = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("upto") - F.col("size"))))
+    return joined.select("k", "a.s", "a.shard", "size", "source_size", "target", "passes", over.alias("over"))
+
+
+def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, block: int = 1, rows_per_shard: int = ROWS_PER_SHARD, seed: int = 17) -> DataFrame:
+    """key, source, size, source_size, target, taken (words the mix takes, repeats counted), shard: a row for each row of ``docs``."""
     prepare(docs.sparkSession)
     # the texts are read once; sizes, a few bytes a row, go to the checkpoint folder
-    sizes = sized(docs, key, text, source).withColumn("h", F.xxhash64("k", "size", F.lit(seed))).checkpoint()
-    out = _taken(sizes, weights, most_repeats, blocks, ranges)
-    return out.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("over")).cast("long").alias("taken"))
+    sizes = sized(docs, key, text, source, seed).checkpoint()
+    out = _taken(sizes, weights, most_repeats, block, rows_per_shard)
+    return out.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("over")).cast("long").alias("taken"), "shard")
 
 
-def repeat(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, blocks: int | None = None, ranges: int = RANGES, seed: int = 17) -> DataFrame:
+def repeat(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, block: int = 1, rows_per_shard: int = ROWS_PER_SHARD, seed: int = 17) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all its columns.
 
-    A document in which a source's quota ends is taken once more if at least half of its words are covered;
+    A document in which a shard's quota of its source ends is taken once more if at least half of its words are covered;
     documents without words, which cost the mix nothing, are taken once. Rows that agree in id, source and text are
     repeated alike, by the mean of what they take.
     """
     prepare(docs.sparkSession)
     k, h, n, i = fresh(docs.columns, "row_key", "row_hash", "row_copies", "row_copy")
-    keyed = docs.withColumn(k, F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))).withColumn(h, F.xxhash64(F.col(text), F.col(source)))
+    keyed = docs.withColumn(k, F.xxhash64(F.col(key), F.lit(1))).withColumn(h, F.xxhash64(F.col(text), F.col(source)))
     src = keyed.select(F.struct(F.col(k).alias("k"), F.col(h).alias("h")).alias("k"), F.col(source).alias("s"), F.col(text).alias("t"))
-    sizes = sized(src, "k", "t", "s").withColumn("h", F.xxhash64("k.k", "size", F.lit(seed))).checkpoint()
-    taken = _taken(sizes, weights, most_repeats, blocks, ranges)
+    sizes = sized(src, "k", "t", "s", seed).checkpoint()
+    taken = _taken(sizes, weights, most_repeats, block, rows_per_shard)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("passes") + (2 * F.col("over") >= F.col("size")).cast("long"))
     counts = taken.select(F.col("k.k").alias(k), F.col("k.h").alias(h), copies.alias(n)).groupBy(k, h).agg(F.round(F.avg(n)).cast("int").alias(n)).where(F.col(n) > 0)
     joined = keyed.join(counts, [k, h])

@@ -6,6 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from corvane.llm import components, lines, mixing, sharding, simhash, topk
 
@@ -204,17 +205,41 @@ def test_mixing(spark, seed):
     assert mixing.mix(docs(spark, [])).count() == 0
 
 
+def highest_quotients(votes, n):
+    seats = dict.fromkeys(votes, 0)
+    for _ in range(n):
+        s = max((x for x in votes if votes[x]), key=lambda x: (Fraction(votes[x], 2 * seats[x] + 1), -list(votes).index(x)))
+        seats[s] += 1
+    return seats
+
+
 def test_sainte_lague(spark):
-    votes = {"a": 53_000, "b": 24_000, "c": 23_000, "d": 10, "e": 0}
-    df = spark.createDataFrame([(s, i, v, float(v)) for i, (s, v) in enumerate(votes.items())], "s string, rank int, source_size long, target double")
-    for n in (1, 7, 100):
-        seats = dict.fromkeys(votes, 0)
-        for _ in range(n):
-            s = max(votes, key=lambda x: (Fraction(votes[x], 2 * seats[x] + 1), -list(votes).index(x)))
-            seats[s] += 1
-        got = mixing.apportion(df, 100_010, n, shards=3).collect()
-        assert {r["s"]: r["quota"] for r in got} == seats
-        assert all(sum(q["n"] for q in r["quotas"] or []) == r["quota"] for r in got)
+    rng = random.Random(2)
+    groups = {"x": ([53_000, 24_000, 23_000, 10, 0], 1), "y": ([53_000, 24_000, 23_000, 10, 0], 100), "z": ([rng.randint(0, 30) for _ in range(60)], 333), "v": ([7] * 9, 5), "none": ([3, 4], 0)}
+    df = spark.createDataFrame([(g, i, w, n) for g, (weights, n) in groups.items() for i, w in enumerate(weights)], "g string, i int, w long, n long")
+    got = {(r["g"], r["i"]): r["quota"] for r in mixing.sainte_lague(df, ["g"], "i", "w", F.col("n"), []).collect()}
+    for g, (weights, n) in groups.items():
+        assert {i: got.get((g, i), 0) for i in range(len(weights))} == highest_quotients(dict(enumerate(weights)), n)
+
+
+@pytest.mark.parametrize("block", [1, 7])
+def test_quotas_of_shards(spark, block):
+    """Each shard's quota of a source is what the highest quotients give it, and what its documents take there."""
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40]), rng.choice(["a", "b", "b", "b", None])) for i in range(500)]
+    got = mixing.mix(docs(spark, rows), block=block).collect()
+    size, taken, here, source = defaultdict(int), defaultdict(int), defaultdict(dict), defaultdict(int)
+    for r in got:
+        taken[r["source"], r["shard"]] += r["taken"]
+        here[r["source"]][r["shard"]] = here[r["source"]].get(r["shard"], 0) + r["size"]
+        source[r["source"]] += r["size"]
+    order = ["a", "b", None]
+    want = highest_quotients(dict(zip(order, brute_targets([source[s] for s in order], [1, 2, 3]))), sum(source.values()) // block)
+    for s in order:
+        shards = highest_quotients({k: here[s][k] for k in sorted(here[s])}, min(want[s], 3 * source[s] // block))
+        for k, n in shards.items():
+            assert taken[s, k] == min(n * block, 3 * here[s][k])
+    assert len({r["shard"] for r in got}) == 64
 
 
 @pytest.mark.parametrize("step", [2, 5, 12])

@@ -84,21 +84,18 @@ def test_short_lines_and_number_rows(spark):
 
 
 def test_small_sources_of_large_mixes_get_their_target(spark):
-    """At 5e9 words, sources far below a 65536th of the total are apportioned to within a word, and in shards."""
+    """At 5e9 words, sources far below a 65536th of the total are apportioned to within a word, and so are their shards."""
     sizes = [3_000_000_000, 1_999_000_000, 900_000, 12_000, 3_000, 40, 1, 0, 87_959]
-    rows = [(f"s{i}", n) for i, n in enumerate(sizes)]
+    rows = [(f"s{i}", n // 8 + (j < n % 8), j) for i, n in enumerate(sizes) for j in range(8)]
     total = sum(sizes)
-    wanted = mixing.targets(spark.createDataFrame(rows, "s string, size long"))
-    got = mixing.apportion(wanted, total).collect()
-    assert sum(r["quota"] for r in got) == total == got[0]["n"]
-    shard = dict.fromkeys(range(64), 0)
+    got = mixing.quotas(spark.createDataFrame(rows, "s string, size long, h long"), 64, total, (1, 2, 3), 3, 1).collect()
+    taken = {}
     for r in got:
-        assert abs(r["quota"] - r["target"]) <= 1
-        assert sum(q["n"] for q in r["quotas"] or []) == r["quota"]
-        assert all(abs(q["n"] - r["quota"] / 64) < 1 for q in r["quotas"] or [])
-        for q in r["quotas"] or []:
-            shard[q["shard"]] += q["n"]
-    assert max(shard.values()) - min(shard.values()) <= 1
+        taken[r["s"]] = taken.get(r["s"], 0) + r["words"]
+        assert r["words"] <= 3 * r["shard_size"]
+        assert abs(r["words"] - r["target"] * r["shard_size"] / max(1, r["source_size"])) <= 2
+    assert abs(sum(taken.values()) - total) <= 2
+    assert all(abs(taken[r["s"]] - r["target"]) <= 1 for r in got)
 
 
 def test_small_source_stays_in_the_mix(spark):
