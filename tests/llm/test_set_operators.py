@@ -1,5 +1,6 @@
 """Operators 4, 6, 7, 8 and 9 against brute force."""
 
+import math
 import random
 from collections import defaultdict
 from fractions import Fraction
@@ -42,6 +43,33 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(data.where("vec_id = 0")).count() == 0
 
 
+def test_topk_of_components_of_any_size(spark):
+    """Scores are exact integers, held to a long."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(120)]
+    rows += [(200, [1e9] + [0.5] * 7), (201, [-1e9] * 8), (202, [3e5] * 8), (203, [3e5 + 0.25] * 8), (220, [1e300, 0.0] + [0.25] * 6), (240, [0.0, 7e6] + [1e-3] * 6)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    long = lambda v: max(-(2**63), min(2**63 - 1, v))
+    whole = {i: [long(math.floor(64 * x)) for x in v] for i, v in rows}
+    for block in (16, 16384):
+        got = topk.top_k(data, k=20, pivots=5, block_rows=block, query_rows=3).collect()
+        for q in (i for i in whole if i % 20 == 0):
+            best = sorted((-long(sum(a * b for a, b in zip(whole[q], whole[i]))), i) for i in whole if i != q)[:20]
+            assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(i, -s) for s, i in best]
+
+
+def test_pivots_bound_scores_and_eliminate():
+    rng = np.random.default_rng(6)
+    x = np.floor(64 * (y := rng.normal(size=(3000, 64))) / np.linalg.norm(y, axis=1, keepdims=True))
+    pivots, norm = topk.Pivots(x[:1000], 48, 64), (x * x).sum(axis=1)
+    place = pivots.places(pivots.table(x))
+    bound = topk.upper_bounds(tuple(a[:50] for a in place), norm[:50], place, norm)
+    score = x[:50] @ x.T
+    assert (bound >= score).all()
+    done = [topk.best(x[j].astype(int), j, bound[j], x.astype(int), np.arange(3000), 20, float(np.sort(score[j])[-40]))[2] for j in range(50)]
+    assert sum(done) < 0.5 * 50 * 3000
+
+
 def roots(n, pairs):
     p = list(range(n))
 
