@@ -1,15 +1,21 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives (labels.quality = 1) and unlabelled web text train a small network by the non-negative
-unbiased risk  pi R+(g) + max(0, Ru-(g) - pi R+-(g))  of Kiryo et al. (2017), with the class prior pi estimated
-from the labelled rows that may be learned from. Rows whose crc32(doc_id as text) mod 5 is 0 are held out: neither
+unbiased risk  pi R+(g) + max(0, Ru-(g) - pi R+-(g))  of Kiryo et al. (2017). No label but the positives is used. The class prior pi is
+estimated from positives and unlabelled texts alone, by best bins (Garg et al., 2021): a first network tells one half of the positives
+from one half of the unlabelled; on the other halves, over all cuts of its score, the share of unlabelled texts above the
+cut divided by that of positives is never below pi but for chance, and closest to it at the cut of the least upper
+confidence bound. Both halves take both parts and the mean counts.
+
+Rows whose crc32(doc_id as text) mod 5 is 0 are held out: neither
 their labels nor their texts are used. Training uses at most ``most_positive`` and ``most_unlabelled`` documents,
-those of smallest seeded hash (so the sample is the same on a rerun); scores are for every row and
+those of smallest seeded hash (so the sample is the same on a rerun; of an id's several texts the smallest); scores are for every row and
 come from the whole text alone: label, language, source and id are no inputs.
 
 Null texts count as empty and are scored like any other text; rows with null ids are scored but never learned
-from; repeated rows get the same score. Without any positive label the score is 1 - exp(-words) / 2 for every
-row, that is, all are kept.
+from; repeated rows get the same score; texts of any length are read in pieces. Without any positive label the score is 1 - exp(-words) / 2 for every
+row, that is, all are kept. An empty table gives an empty one. Other columns play no part in ``score_documents`` and pass
+unchanged in ``with_scores``, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,14 +58,21 @@ def _class_table() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """One row of features for each text; all are ratios or logarithms, so length itself weighs little."""
+def class_counts(text: str, piece: int = 1 << 18) -> np.ndarray:
+    """How many of a text's code points are in each class."""
     if not _TABLE:
         _TABLE.append(_class_table())
+    out = np.zeros(_CLASSES, dtype=np.int64)
+    for at in range(0, len(text), piece):
+        points = np.frombuffer(text[at : at + piece].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        out += np.bincount(_TABLE[0][np.minimum(points, 65535)], minlength=_CLASSES)
+    return out
+
+
+def features(texts: list[str]) -> np.ndarray:
+    """One row of features for each text; all are ratios or logarithms, so length itself weighs little."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    counts = np.bincount(owner * _CLASSES + _TABLE[0][np.minimum(points, 65535)], minlength=len(texts) * _CLASSES).reshape(-1, _CLASSES)
+    counts = np.array([class_counts(t) for t in texts], dtype=np.int64).reshape(-1, _CLASSES)
     share = counts / np.maximum(lengths, 1)[:, None]
     rest = np.zeros((len(texts), 12))
     for i, t in enumerate(texts):
@@ -99,8 +112,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden: int = 24, steps: int = 700, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minimise the non-negative PU risk with the logistic loss by Adam on the full sample."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, *, hidden: int = 24, steps: int = 700, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Minimise the non-negative PU risk with the logistic loss by Adam on the full sample; without a prior, tell the two samples apart."""
     both = np.vstack((positive, unlabelled))
     mean, scale = both.mean(0), both.std(0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
@@ -112,8 +125,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden: i
         hp, hu = np.tanh(p @ w1 + b1), np.tanh(u @ w1 + b1)
         gp, gu = hp @ w2 + b2[0], hu @ w2 + b2[0]
         sp, su = 1 / (1 + np.exp(-np.clip(gp, -30, 30))), 1 / (1 + np.exp(-np.clip(gu, -30, 30)))
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        if negative >= 0:  # d/dg of log(1+e^-g) is s-1, of log(1+e^g) is s
+        if prior is None:
+            dp, du = (sp - 1) / len(p), su / len(u)
+        elif np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean() >= 0:  # d/dg of log(1+e^-g) is s-1, of log(1+e^g) is s
             dp, du = prior * ((sp - 1) - sp) / len(p), su / len(u)
         else:  # step back up the negative part alone
             dp, du = prior * sp / len(p), -su / len(u)
@@ -129,6 +143,23 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden: i
     return Model(mean, scale, par[0], par[1], par[2], float(par[3][0]))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, *, chance: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among the unlabelled, by best bins on two halves."""
+    found = []
+    for i in range(2):
+        model = fit(positive[i::2], unlabelled[i::2], None, steps=300)
+        p, u = np.sort(model.score(positive[1 - i :: 2])), np.sort(model.score(unlabelled[1 - i :: 2]))
+        if not len(p) or not len(u):
+            continue
+        cuts = np.unique(p)
+        above_p = (len(p) - np.searchsorted(p, cuts)) / len(p)
+        above_u = (len(u) - np.searchsorted(u, cuts)) / len(u)
+        slack = np.sqrt(np.log(4 / chance) / (2 * len(p))) + np.sqrt(np.log(4 / chance) / (2 * len(u)))
+        at = int(np.argmin((above_u + (1 + gamma) * slack) / above_p))
+        found.append(above_u[at] / above_p[at])
+    return float(np.clip(np.mean(found), 0.02, 0.98)) if found else 0.5
+
+
 def held_out(key: F.Column) -> F.Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -136,20 +167,16 @@ def held_out(key: F.Column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", most_positive: int = 8000, most_unlabelled: int = 16000) -> Model | None:
     """None without positives. At most most_positive + most_unlabelled rows of features reach the driver."""
     spark = prepare(docs.sparkSession)
-    known = labels.select(F.col(key).cast("long").alias("k"), "quality").where(F.col("k").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("k")))
+    known = labels.where("quality = 1").select(F.col(key).cast("long").alias("k")).where(F.col("k").isNotNull() & ~held_out(F.col("k")))
     seeded = F.xxhash64("k", F.lit(11))
-    counts = known.agg(F.count("*").alias("n"), F.sum((F.col("quality") == 1).cast("long")).alias("p")).first()
-    if not counts["p"]:
-        return None
-    prior = min(0.98, max(0.02, counts["p"] / counts["n"]))
     ids = docs.select(F.col(key).cast("long").alias("k")).where(F.col("k").isNotNull() & ~held_out(F.col("k")))
-    good = known.where("quality = 1").select("k").distinct().orderBy(seeded, "k").limit(most_positive)
+    good = known.distinct().orderBy(seeded, "k").limit(most_positive)
     some = ids.distinct().orderBy(seeded, "k").limit(most_unlabelled)
     wanted = {}
     for kind, rows in ((1, good.collect()), (0, some.collect())):  # at most the two bounds
         for r in rows:
             wanted[r["k"]] = wanted.get(r["k"], 0) | (1 << kind)
-    if not wanted:
+    if not any(kind & 2 for kind in wanted.values()):
         return None
     chosen = spark.createDataFrame(list(wanted.items()), "k long, kind int")
     src = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k")
@@ -158,13 +185,13 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         x = features(batch.column("t").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("kind"), pa.array([r.tobytes() for r in x], pa.binary())], ["k", "kind", "x"])
 
-    rows = map_batches(src.dropDuplicates(["k"]), run, "k long, kind int, x binary").orderBy("k").collect()
+    rows = map_batches(src.groupBy("k", "kind").agg(F.min("t").alias("t")), run, "k long, kind int, x binary").orderBy("k").collect()
     x = np.array([np.frombuffer(r["x"]) for r in rows]) if rows else np.zeros((0, 1))
     kind = np.array([r["kind"] for r in rows], dtype=int)
     positive, unlabelled = x[kind & 2 > 0], x[kind & 1 > 0]
     if not len(positive) or not len(unlabelled):
         return None
-    return fit(positive, unlabelled, prior)
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def with_scores(docs: DataFrame, model: Model | None, *, text: str = "text", name: str = "score") -> DataFrame:
@@ -177,15 +204,12 @@ def with_scores(docs: DataFrame, model: Model | None, *, text: str = "text", nam
         import pandas as pd
 
         it = shared.value
-        out = []
         for s in texts:
             made = []
-            whole = [t or "" for t in s]
-            for at in range(0, len(whole), 256):
-                part = whole[at : at + 256]
+            for at in range(0, len(s), 256):
+                part = [t or "" for t in s[at : at + 256]]
                 made.append(it.score(features(part)) if it else np.array([1 - np.exp(-len(t.split())) / 2 for t in part]))
-            out.append(np.round(np.concatenate(made), 9) if made else np.empty(0))
-            yield pd.Series(out.pop())
+            yield pd.Series(np.round(np.concatenate(made), 9) if made else np.empty(0))
 
     from collections.abc import Iterator
 
