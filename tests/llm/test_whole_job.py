@@ -28,6 +28,7 @@ def jaccard(a, b):
 def test_near_duplicates_by_similarity(spark, monkeypatch):
     """All pairs at 0.8 or more are linked, whatever their fingerprints, and no others."""
     monkeypatch.setattr(resemblance, "CELLS", 64)
+    monkeypatch.setattr(resemblance, "PART", 500)
     rng = random.Random(3)
     phrase = " ".join(f"p{i}" for i in range(12))  # frequent shingles
     texts = []
@@ -62,12 +63,22 @@ def test_prefixes_of_similar_sets_meet():
             continue
         x, y = resemblance.prefix(a, frequent, least).tolist(), resemblance.prefix(b, frequent, least).tolist()
         shared = [s for s in x if s in y]
-        size, at = np.array([len(a), len(b)]), lambda s: np.array([x.index(s), y.index(s)])
-        assert any(list(resemblance.meet(np.array([1, 2]), size, at(s), least)) for s in shared)
-        apart = np.abs(np.frombuffer(resemblance.counts(a), "<u2").astype(int) - np.frombuffer(resemblance.counts(b), "<u2").astype(int)).sum()
+        size, left = np.array([len(a), len(b)]), lambda s: np.array([len(a) - x.index(s), len(b) - y.index(s)])
+        assert any(list(resemblance.meet(np.array([1, 2]), size, left(s), least)) for s in shared)
+        for pad in ([], [3, 4]):  # in twos and in crowds
+            elements = [(s, fp, n, n - i) for fp, (own, n) in enumerate(((x, len(a)), (y, len(b)), *((x, len(a)) for _ in pad))) for i, s in enumerate(own)]
+            s, fp, n, rest = (np.array(c) for c in zip(*elements))
+            assert (0, 1) in {(i, j) for g, h in resemblance.met(s, fp, np.stack((n, rest), axis=1), least) for i, j in zip(g.tolist(), h.tolist())}
+        apart = np.abs(resemblance.counts(a).astype(int) - resemblance.counts(b).astype(int)).sum()
         assert apart <= len(np.setxor1d(a, b))
 
 
+def test_large_sets_are_not_ruled_out_where_they_meet():
+    n = np.minimum([70_000, 90_000, 65_000, 50_000, 10_000], resemblance.LARGE)
+    got = {(i, j) for a, b in resemblance.meet(np.arange(5), n, n, Fraction(4, 5)) for i, j in zip(a.tolist(), b.tolist())}
+    assert {(0, 1), (0, 2), (1, 2)} <= got and (2, 4) not in got
+
+
 def test_short_lines_and_number_rows(spark):
     """Short boilerplate is dropped from all but its first document; rows of unlike numbers are no repeats."""
     rows = [
