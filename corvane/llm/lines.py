@@ -12,8 +12,9 @@ document is the first (smallest id) that has the template: so one occurrence of
 that shares nothing stays as it is. Lines of fewer than ``least`` tokens always stay; with ``least`` 1, as the query and
 the pipeline have it, only lines without tokens do.
 
-Documents are told apart by id; rows of one id are one document, rows without id one more, after all others. Null
-and empty texts stay as they are. All columns pass; n_chars, if there, is set to the new length where lines went.
+Documents are told apart by id; rows of one id are one document. Rows without id are documents by their texts, after all
+others, in seeded order: equal ones are one. Null and empty texts stay as they are, and so does the order of lines. Texts of any length are
+read whole. All columns pass, whatever their names; n_chars, if there, is set to the new length where lines went. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -76,10 +77,15 @@ def keep_lines(text: str, recurring: set[int], **form: int) -> tuple[str, int]:
     return "\n".join(kept), gone
 
 
+def document(key: str, text: str) -> F.Column:
+    """A number for each document: its id, or one above all likely ids from its text."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(LAST) - F.pmod(F.xxhash64(F.col(text), F.lit(1)), F.lit(1 << 40)))
+
+
 def recurring_templates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **form: int) -> DataFrame:
     """(d, gone): each document's templates that an earlier document has; only documents with any."""
     prepare(docs.sparkSession)
-    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("d"), F.col(text).alias("t")).where("t <> ''")
+    src = docs.select(document(key, text).alias("d"), F.col(text).alias("t")).where("t <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,7 +108,7 @@ def drop_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", coun
     assert spark is not None
     gone = recurring_templates(docs, key=key, text=text, **form)
     d, g, n = fresh(docs.columns, "row_document", "row_gone", "row_dropped")
-    joined = docs.withColumn(d, F.coalesce(F.col(key).cast("long"), F.lit(LAST))).join(gone.toDF(d, g), d, "left").drop(d)
+    joined = docs.withColumn(d, document(key, text)).join(gone.toDF(d, g), d, "left").drop(d)
     names = docs.columns
     at = names.index(text)
     size = names.index("n_chars") if "n_chars" in names and dict(docs.dtypes)["n_chars"] in ("bigint", "int") else None
