@@ -5,7 +5,8 @@ shingle; no words, an empty sketch). The sketch of a union is the k smallest of
 Resemblance is estimated on the merged sketch, containment from the same intersection, and the number of
 distinct shingles from the k-th smallest hash; below k hashes all three are exact.
 
-Null texts count as empty. Empty sketches resemble each other fully and nothing else.
+Null texts count as empty. Empty sketches resemble each other fully and nothing else. Each row counts, repeated ones too; texts are read whole;
+an empty table gives an empty one. Only key and text are looked at, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -124,28 +125,32 @@ def _bucket(column: F.Column, splits: list, width: int) -> F.Column:
 def compare_with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = K, size: int = SHINGLE, rows_per_range: int = 4096, most_ranges: int = 4096) -> DataFrame:
     """Each document's sketch beside that of its edited text and that of the next document.
 
-    Documents are in descending order of key (nulls after all others, equal keys by descending text); the edited
+    Documents are in descending order of key (nulls after all others, in seeded order of their texts; equal keys by descending text); the edited
     text has its last floor(n / 3) code points replaced by the first as many of the next document's text, which
     after the last document is the first's. Columns: key, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
     The texts are shuffled once, into ranges of keys; the first document of each range goes to the range before
-    it as well. At most ``most_ranges`` keys and range bounds reach the driver, whatever the input.
+    it as well. At most twice ``most_ranges`` keys and range bounds reach the driver, whatever the input.
     """
     prepare(docs.sparkSession)
     src = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    # rows without id are placed by a hash of their texts
+    src = src.select("k", "t", F.coalesce("k", F.xxhash64("t", F.lit(7))).alias("o"))
     ids = src.select("k").where("k is not null")
-    n = src.count()
-    ranges = max(1, min(most_ranges, -(-n // rows_per_range)))
+    rows_ = src.agg(F.count("k").alias("ids"), F.count_if(F.col("k").isNull()).alias("none")).first()
+    ranges = max(1, min(most_ranges, -(-rows_["ids"] // rows_per_range)))
     splits = sorted({int(x) for x in ids.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.25 / ranges)}) if ranges > 1 else []
-    # bucket 0 holds the largest keys; nulls are behind all
-    of = F.when(F.col("k").isNull(), F.lit(len(splits) + 1)).otherwise(len(splits) - _bucket(F.col("k"), splits, 64))
-    placed = src.select(of.alias("bucket"), "k", "t")
-    firsts = placed.groupBy("bucket").agg(F.max("k").alias("k")).orderBy("bucket").collect()  # at most most_ranges + 1
-    halo = [(firsts[i - 1]["bucket"], firsts[i]["k"]) for i in range(len(firsts))]
-    small = docs.sparkSession.createDataFrame(halo, "bucket int, k long")
-    after = placed.select("k", "t").join(F.broadcast(small), placed["k"].eqNullSafe(small["k"])).select(small["bucket"], placed["k"], placed["t"])
-    both = placed.select("bucket", F.lit(0).alias("halo"), "k", "t").unionByName(after.select("bucket", F.lit(1).alias("halo"), "k", "t"))
+    loose = max(1, min(most_ranges, -(-rows_["none"] // rows_per_range)))
+    # bucket 0 holds the largest keys; nulls are behind all, by descending hash
+    behind = F.least(F.lit(loose - 1), F.floor((F.lit(float(2**63)) - F.col("o")) / F.lit(float(2**64) / loose)).cast("int"))
+    of = F.when(F.col("k").isNull(), len(splits) + 1 + behind).otherwise(len(splits) - _bucket(F.col("k"), splits, 64))
+    placed = src.select(of.alias("bucket"), "k", "o", "t")
+    firsts = placed.groupBy("bucket").agg(F.max("o").alias("o"), F.max(F.col("k").isNull()).alias("none")).orderBy("bucket").collect()  # at most 2 most_ranges
+    halo = [(firsts[i - 1]["bucket"], firsts[i]["o"], firsts[i]["none"]) for i in range(len(firsts))]
+    small = docs.sparkSession.createDataFrame(halo, "bucket int, o long, none boolean")
+    after = placed.join(F.broadcast(small), (placed["o"] == small["o"]) & (placed["k"].isNull() == small["none"])).select(small["bucket"], placed["k"], placed["o"], placed["t"])
+    both = placed.select("bucket", F.lit(0).alias("halo"), "k", "o", "t").unionByName(after.select("bucket", F.lit(1).alias("halo"), "k", "o", "t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -177,6 +182,6 @@ def compare_with_next(docs: DataFrame, *, key: str = "doc_id", text: str = "text
         if rows:
             yield out()
 
-    ordered = both.repartition("bucket").sortWithinPartitions("bucket", "halo", F.col("k").desc_nulls_last(), F.col("t").desc())
+    ordered = both.repartition("bucket").sortWithinPartitions("bucket", "halo", F.col("o").desc(), F.col("t").desc()).select("bucket", "halo", "k", "t")
     made = ordered.mapInArrow(run, "k long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return made.withColumnRenamed("k", key)
