@@ -21,14 +21,16 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure that checkpoint() has a folder.
 
-    ``spark.checkpoint.dir`` is the cluster's shared folder; only where it is unset (tests, one
-    machine) a folder of our own is set.
+    ``spark.checkpoint.dir`` is the cluster's shared folder; only where it is unset and all runs in this one
+    process (tests, one machine) a folder of our own is set.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     named = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
     return spark
 
