@@ -23,12 +23,46 @@ def evidence_block(ranked: DataFrame) -> DataFrame:
     return listed.select("query_id", F.array_join(F.transform("e", lambda x: x["line"]), "\n\n").alias("evidence"), F.transform("e", lambda x: x["chunk_id"]).alias("chunk_ids"))
 
 
-def prompts(queries: DataFrame, evidence: DataFrame, system: str = "Answer from the evidence alone and cite it as [C1]; say so if it is insufficient.") -> DataFrame:
+def prompts(queries: DataFrame, evidence: DataFrame, system: str | None = None) -> DataFrame:
+    """One prompt for each query; a column context (struct, see dialogue.conversation_context) of queries goes between question and evidence."""
+    system = system or template()
     joined = queries.join(evidence, "query_id", "left")
-    user = F.concat_ws("\n\n", F.concat(F.lit("Question: "), F.col("query")), F.when(F.col("evidence").isNotNull(), F.concat(F.lit("Evidence:\n"), F.col("evidence"))))
+    said = F.nullif(F.rtrim(context_block(F.col("context"))), F.lit("")) if "context" in queries.columns else F.lit(None).cast("string")
+    user = F.concat_ws("\n\n", F.concat(F.lit("Question: "), F.col("query")), said, F.when(F.col("evidence").isNotNull(), F.concat(F.lit("Evidence:\n"), F.col("evidence"))))
     return joined.select("query_id", "query", F.lit(system).alias("system"), user.alias("user"), F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"), "evidence")
 
 
+STRICT = "You answer questions about documents. Use the evidence and nothing else, cite it as [C1], lead with the conclusion, and say so if the evidence doesn't settle the question."
+FAMILIES = {"generic": "Answer from the evidence alone and cite it as [C1]; say so if it is insufficient.", "strict": STRICT}
+
+
+def template(family: str = "auto", model_name: str = "") -> str:
+    """The system prompt of a prompt family; auto goes by the model's name."""
+    name = family.lower().strip()
+    if name == "auto":
+        name = "strict" if "qwen" in model_name.lower() else "generic"
+    name = {"qwen": "strict", "zh": "generic", "zh_generic": "generic"}.get(name, name)
+    if name not in FAMILIES:
+        raise ValueError(f"Unsupported prompt family: {family}")
+    return FAMILIES[name]
+
+
+def context_block(context):
+    """Up to seven lines that tell a generator what a conversation has settled, and a blank line; "" if nothing."""
+    c = context
+    lines = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Entities in question: "), F.array_join(c["dialogue_referents"], ", ")),
+        F.concat(F.lit("Compared with: "), c["comparison_target"]),
+        F.concat(F.lit("Output style: "), c["output_style"]),
+        F.concat(F.lit("So far: "), c["conversation_summary"]),
+        F.when(c["follow_up"], "This follows on the turn before: keep its subject and measures."),
+        F.when(c["dialogue_mode"] == "compare", "Compare, and keep the subjects apart."),
+        F.when(c["output_style"] == "list", "Answer as a list.").when(c["output_style"] == "detailed", "Give the conclusion, then what it rests on."),
+    )
+    return F.when(lines != "", F.concat(lines, F.lit("\n\n"))).otherwise("")
+
+
 def extractive(evidence):
     """The stand-in for a language model: the first 200 characters of the evidence."""
     return F.substring(squeeze(evidence), 1, 200)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import lines, strip
@@ -73,6 +73,15 @@ def document_alerts(chunks: DataFrame, manifest: DataFrame | None = None, t: Thr
     return joined.select("doc_id", "page_count", "chunk_count", F.round(r, 2).alias("chunk_page_ratio"), why.alias("reasons"), "alerted_pages").where(F.size("reasons") > 0)
 
 
+def in_order(alerts: DataFrame) -> DataFrame:
+    """Alerts with alert_no: documents by ratio, pages by chunk count and heading ratio within their document, highest first (as rounded); ties by document and page."""
+    if "page_no" in alerts.columns:
+        w = Window.partitionBy("doc_id").orderBy(F.desc("chunk_count"), F.desc("heading_ratio"), "page_no")
+        return alerts.withColumn("alert_no", F.row_number().over(w))
+    # alerts are what the audit reports, one a document at most; the range partitioning of a global sort carries them
+    return alerts.orderBy(F.desc("chunk_page_ratio"), "doc_id")
+
+
 def ratio_summary(chunks: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     zero = lambda c: F.coalesce(F.round(c, 2), F.lit(0.0))
     r = ratios(chunks, manifest)

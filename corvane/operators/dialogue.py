@@ -189,10 +189,30 @@ def search_query(base: Column, p: Column) -> Column:
     """The query with each planned term appended once, if neither it nor an earlier term has it."""
     q = squeeze(F.coalesce(base, F.lit("")))
     terms = F.concat(p["entity_scope"], p["dialogue_referents"], F.array(p["topic_product"], p["topic"]), p["time_terms"], p["metric_scope"], p["aspect_scope"], p["summary_terms"], F.array(p["comparison_target"]))
+    return appended(q, terms)
+
+
+def appended(q: Column, terms: Column) -> Column:
     new = F.array_distinct(F.filter(F.transform(terms, lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: (x != "") & ~F.contains(q, x)))
     return F.when(F.size(new) > 0, F.trim(F.concat_ws(" ", q, F.array_join(new, " ")))).otherwise(q)
 
 
+def generation_query(base: Column, p: Column) -> Column:
+    """The query for the generator: with referents, comparison target and output style appended, as search_query() does its terms."""
+    q = squeeze(F.coalesce(base, F.lit("")))
+    return appended(q, F.concat(F.coalesce(p["dialogue_referents"], strings()), F.array(p["comparison_target"], p["output_style"])))
+
+
+def conversation_context(p: Column, follow_up: Column, conversation_summary: Column) -> Column:
+    """struct<dialogue_mode, follow_up, dialogue_referents, comparison_target, output_style, conversation_summary>; what is missing is null."""
+    referents = F.filter(F.coalesce(p["dialogue_referents"], strings()), lambda x: F.trim(x) != "")
+    said = lambda c: blank_to_null(F.trim(c))
+    compares = (F.size(referents) > 0) | said(p["comparison_target"]).isNotNull()
+    follows = F.coalesce(follow_up, F.lit(False))
+    mode = F.when(compares, "compare").when(follows, "follow_up").otherwise("single_turn")
+    return F.struct(mode.alias("dialogue_mode"), follows.alias("follow_up"), F.when(F.size(referents) > 0, referents).alias("dialogue_referents"), said(p["comparison_target"]).alias("comparison_target"), said(p["output_style"]).alias("output_style"), said(conversation_summary).alias("conversation_summary"))
+
+
 def evidence_kind(explicit: Column, chunk_type: Column) -> Column:
     return F.coalesce(blank_to_null(explicit), F.when(chunk_type == "table", "table_evidence").when(chunk_type == "heading", "caption_evidence").when(chunk_type.isin("figure_caption", "mixed"), "chart_evidence").otherwise("narrative_evidence"))
 

@@ -73,30 +73,73 @@ def read_chunk_artifacts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunk_artifacts(chunks: DataFrame, path: str) -> None:
-    """One JSON object a document: doc_id, chunk_count, chunks in order."""
-    item = F.struct("chunk_no", "chunk_id", "doc_id", "text", "page_no", "chunk_type", "section_path", "evidence_type")
-    docs = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.array_sort(F.collect_list(item)).alias("chunks"))
-    docs.write.mode("overwrite").json(path)
+    """One JSON object a document: doc_id, title, source_file, chunk_count, chunks in order; read_chunk_artifacts reads all of it back."""
+    has = set(chunks.columns)
+    own = lambda c, kind: F.col(c).cast(kind).alias(c) if c in has else F.lit(None).cast(kind).alias(c)
+    item = F.struct("chunk_no", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "text", "page_no", "chunk_type", "section_path", own("metadata", "map<string,string>"), own("evidence_type", "string"))
+    docs = chunks.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.min(own("title", "string")).alias("title"), F.min(own("source_file", "string")).alias("source_file"), F.count("*").alias("chunk_count"), F.collect_list(item).alias("chunks"))
+    in_order = F.array_sort("chunks", lambda x, y: F.coalesce(F.when(x["chunk_no"] < y["chunk_no"], -1).when(x["chunk_no"] > y["chunk_no"], 1), F.lit(0)))
+    docs.withColumn("chunks", in_order).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-TABLES = ("chunks", "postings", "terms", "stats", "manifest")
+def write_parsed(blocks: DataFrame, path: str) -> None:
+    """Parsed documents, one JSON object each: doc_id, block_count, and blocks in page order."""
+    item = F.struct("page_no", "block_ord", *[c for c in blocks.columns if c not in ("doc_id", "page_no", "block_ord")])
+    docs = blocks.select("doc_id", item.alias("b")).groupBy("doc_id").agg(F.count("*").alias("block_count"), F.collect_list("b").alias("blocks"))
+    key = lambda b: b["page_no"] * F.lit(1 << 20).cast("long") + b["block_ord"]
+    docs.withColumn("blocks", F.array_sort("blocks", lambda x, y: F.coalesce(F.signum(key(x) - key(y)).cast("int"), F.lit(0)))).write.mode("overwrite").json(path)
+
+
+def read_tables(files: DataFrame, reader) -> DataFrame:
+    """Raw tables of files, through a finder: a function of (path, bytes) that yields (page_no, page_width, page_height, table_idx, x0, y0, x1, y1, rows).
+
+    A file that the finder can't read has no tables; the job goes on."""
+    schema = "path string, page_no int, page_width double, page_height double, table_idx int, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>"
+
+    def run(batches):
+        import pandas as pd
+
+        names = ["path", "page_no", "page_width", "page_height", "table_idx", "x0", "y0", "x1", "y1", "rows"]
+        for batch in batches:
+            found = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    found += [(path, *t) for t in reader(path, bytes(content))]
+                except Exception:  # noqa: BLE001
+                    continue
+            yield pd.DataFrame(found, columns=names)
+
+    raw = files.select("path", "content").mapInPandas(run, schema)
+    return raw.withColumn("bbox", F.struct("x0", "y0", "x1", "y1")).drop("x0", "y0", "x1", "y1")
+
+
+TABLES = ("chunks", "postings", "terms", "stats", "model", "weights", "manifest")
 
 
 def write_index(chunks: DataFrame, path: str, backend: str = "tfidf") -> None:
-    """The persisted index: chunks, postings, document frequencies, corpus statistics, manifest."""
-    from corvane.operators.indexing import corpus_stats, postings, term_stats
+    """The persisted index: chunks, postings, document frequencies, corpus statistics, the TF-IDF model and the chunks' sparse vectors, manifest (last)."""
+    from corvane.operators.indexing import corpus_stats, postings, term_stats, tfidf_model, tfidf_weights
+
+    spark = chunks.sparkSession
 
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    kept = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    postings(kept).write.mode("overwrite").parquet(f"{path}/postings")
-    posted = chunks.sparkSession.read.parquet(f"{path}/postings")
-    term_stats(posted).write.mode("overwrite").parquet(f"{path}/terms")
-    corpus_stats(kept).write.mode("overwrite").parquet(f"{path}/stats")
-    kept.agg(F.count("*").alias("chunk_count"), F.lit(backend).alias("backend")).write.mode("overwrite").parquet(f"{path}/manifest")
+    def kept(name: str, table: DataFrame) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    own = kept("chunks", chunks)
+    posted = kept("postings", postings(own))
+    kept("terms", term_stats(posted))
+    kept("stats", corpus_stats(own))
+    texts = own.select(F.col("chunk_id").alias("key"), "text")
+    model = kept("model", tfidf_model(texts))
+    kept("weights", tfidf_weights(texts, model))
+    kept("manifest", own.agg(F.count("*").alias("chunk_count"), F.lit(backend).alias("backend")))
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    if not os.path.isdir(f"{path}/manifest") and "://" not in path:
+    from corvane.sources.workspace import exists
+
+    if not exists(spark, f"{path}/manifest"):
         raise FileNotFoundError(f"Missing manifest: {path}/manifest")
     return {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
 
@@ -122,6 +165,9 @@ class Settings:
     rrf_k: int = 60
     bm25_weight: float = 1.0
     vector_weight: float = 1.0
+    reranker: str = "noop"
+    prompt_family: str = "auto"
+    model_name: str = ""
     rerank_top_n: int = 20
     rerank_batch: int = 8
     top_k: int = 6
