@@ -86,17 +86,16 @@ def rank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, top_k: in
     item = F.struct("rank", F.col(key).alias("id"), "score", "sources", F.sha1(norm).alias("sig"), F.col("chunk_type").alias("kind"), norm.alias("norm"), F.struct("doc_id", "page_no", "section_path").alias("scope"), "text")
     listed = text.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("query").alias("query"))
     signed = bind(listed, q=query_signature(F.col("query")))
-    kept = signed.select("query_id", "q", F.explode(deduplicated(F.col("items"), chunk_types == {"table"})).alias("x"))
-    x = F.col("x")
-    section = x["scope"]["section_path"]
-    structural = let(chunk_profile(x["text"], section), lambda profile: structural_bonus(profile, F.col("q.prefers")))
-    adjusted = x["score"] + relevance_bonus(x["text"], section, F.col("q")) + structural
-    keyed = bind(kept.select("query_id", "x", "q"), k=F.struct(priority(x["kind"]).alias("p"), F.round(adjusted, 12).alias("a"), F.length(strip(x["text"])).alias("n")))
-    group = Window.partitionBy("query_id", "x.scope")
-    firsts = keyed.select("*", F.row_number().over(group.orderBy(F.desc("k"), "x.rank")).alias("at"), F.min("x.rank").over(group).alias("seen")).where("at = 1")
+    kept = signed.select("query_id", "q", F.inline(deduplicated(F.col("items"), chunk_types == {"table"})))
+    section = F.col("scope")["section_path"]
+    structural = let(chunk_profile(F.col("text"), section), lambda profile: structural_bonus(profile, F.col("q.prefers")))
+    adjusted = F.col("score") + relevance_bonus(F.col("text"), section, F.col("q")) + structural
+    keyed = bind(kept, k=F.struct(priority(F.col("kind")).alias("p"), F.round(adjusted, 12).alias("a"), F.length(strip(F.col("text"))).alias("n")))
+    group = Window.partitionBy("query_id", "scope")
+    firsts = keyed.select("*", F.row_number().over(group.orderBy(F.desc("k"), "rank")).alias("at"), F.min("rank").over(group).alias("seen")).where("at = 1")
     order = Window.partitionBy("query_id").orderBy(F.desc("k"), "seen")
     out = firsts.withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= top_k)
-    return out.select("query_id", F.col("final_rank").alias("rank"), F.col("x.id").alias(key), "x.scope.doc_id", "x.scope.page_no", F.col("x.kind").alias("chunk_type"), "x.scope.section_path", "x.score", F.col("k.a").alias("adjusted_score"), "x.sources", "x.text")
+    return out.select("query_id", F.col("final_rank").alias("rank"), F.col("id").alias(key), "scope.doc_id", "scope.page_no", F.col("kind").alias("chunk_type"), "scope.section_path", "score", F.col("k.a").alias("adjusted_score"), "sources", "text")
 
 
 def no_rerank(candidates: DataFrame) -> DataFrame:
