@@ -8,8 +8,10 @@ import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -65,3 +67,26 @@ def ordered_size(df: DataFrame) -> tuple[int, int]:
     """Row count and an order-free digest of a table of two longs; equal digests mean no change."""
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
     return row["n"], int(row["h"] or 0)
+
+
+def among(keys: DataFrame, most: int = 1 << 25) -> Column:
+    """Whether a row, by its columns of the same names and types, may be one of ``keys``: true for all that are and for some others.
+
+    Tasks hold a bit for each hash, ``most`` bits at most, so others are one in sixteen while there are up to
+    ``most`` / 16 keys, and more beyond. A join that follows decides; the rest of a table needs no shuffle.
+    """
+    spark = keys.sparkSession
+    bits = min(most, max(1 << 15, 1 << (16 * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(*keys.columns), F.lit(bits))
+    placed = keys.select(F.shiftright(slot, 15).alias("block"), slot.bitwiseAND(32767).alias("at")).repartition("block")
+    table_ = np.zeros(bits // 8, dtype=np.uint8)
+    for r in placed.groupBy("block").agg(F.bitmap_construct_agg("at").alias("map")).collect():
+        table_[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["map"], np.uint8)
+    shared = spark.sparkContext.broadcast(table_)
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        x = at.to_numpy()
+        return pd.Series((shared.value[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool))
+
+    return marked(slot)

@@ -10,8 +10,9 @@ Any one order is right. The one used has shingles frequent in a sample last, so
 sets are one set from the start. Fewer words than a shingle are one shingle; texts without words have the empty set
 and are linked with each other alone.
 
-Texts are read twice: for the name and size of each set, and for the first elements, which go through the one large shuffle
-packed, 18 bytes each, to as many parts as hold ``PART`` of them. Copies in one batch send theirs once.
+Texts are read three times: for the name, size and bucket counts of each set, for the first elements, which go through the one large
+shuffle packed, 18 bytes each, to as many parts as hold ``PART`` of them, and for the texts to count on, which are those alone
+whose bucket counts allow a link. Copies in one batch send their elements once.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import map_batches, prepare
+from corvane.llm.common import among, map_batches, prepare
 
 #: Buckets of a set's counts.
 BUCKETS = 128
-#: Documents of the sample that frequent shingles are looked for in, and the most of these that tasks hold.
-SAMPLE, FREQUENT = 8192, 200_000
+#: Documents of the sample that frequent shingles are looked for in, and the most of these that tasks hold. From
+#: SAMPLE * EVERY documents on, one of EVERY: a fixed sample would know ever fewer of them and pairs grow as the square.
+SAMPLE, EVERY, FREQUENT = 8192, 16, 200_000
 #: Cells of one comparison of rows that meet at a shingle.
 CELLS = 1 << 20
 #: First elements of one part.
@@ -67,7 +69,7 @@ def prefix(own: np.ndarray, frequent: np.ndarray, least: Fraction) -> np.ndarray
 
 def counts(own: np.ndarray) -> np.ndarray:
     # stopped counts differ by no more than the counts themselves
-    return np.minimum(np.bincount((own >> np.uint64(32)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 65535).astype("<u2")
+    return np.minimum(np.bincount((own >> np.uint64(32)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8)
 
 
 def meet(g: np.ndarray, n: np.ndarray, left: np.ndarray, least: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -90,7 +92,7 @@ def meet(g: np.ndarray, n: np.ndarray, left: np.ndarray, least: Fraction) -> Ite
 
 def frequent_shingles(src: DataFrame, shingle: int) -> np.ndarray:
     """Hashes of shingles that three or more texts of a sample of ``src`` (t) have."""
-    rate = max(1, src.count() // SAMPLE)
+    rate = max(1, min(src.count() // SAMPLE, EVERY))
     sample = src.select("t", F.xxhash64("t", F.lit(3)).alias("h")).where(F.pmod("h", F.lit(rate)) == 0).dropDuplicates(["h"]).select("t")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -102,17 +104,18 @@ def frequent_shingles(src: DataFrame, shingle: int) -> np.ndarray:
 
 
 def sets(src: DataFrame, shingle: int) -> DataFrame:
-    """(k, fp, n) for rows (k, t): fp names the set of shingles, n is its size."""
+    """(k, fp, n, counts) for rows (k, t): fp names the set of shingles, n is its size."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, sizes = [], []
+        names, sizes, buckets = [], [], []
         for t in batch.column("t").to_pylist():
             own = shingles(t, shingle)
             names.append(name(own))
             sizes.append(len(own))
-        return pa.RecordBatch.from_arrays([batch.column("k"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64())], ["k", "fp", "n"])
+            buckets.append(counts(own).tobytes())
+        return pa.RecordBatch.from_arrays([batch.column("k"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.binary())], ["k", "fp", "n", "counts"])
 
-    return map_batches(src, run, f"k {src.schema['k'].dataType.simpleString()}, fp long, n long")
+    return map_batches(src, run, f"k {src.schema['k'].dataType.simpleString()}, fp long, n long, counts binary")
 
 
 def name(own: np.ndarray) -> int:
@@ -199,25 +202,38 @@ def candidates(src: DataFrame, frequent: np.ndarray, least: Fraction, shingle: i
 
 
 def links(src: DataFrame, own: DataFrame, least: Fraction, shingle: int) -> DataFrame:
-    """Edges (a, b) between all sets that are ``least`` similar, of texts ``src`` (k, t) and their sets ``own`` (k, fp, n)."""
+    """Edges (a, b) between all sets that are ``least`` similar, of texts ``src`` (k, t) and their sets ``own`` (k, fp, n, counts)."""
     size = F.col("n") - F.ceil(F.col("n") * least.numerator / least.denominator) + 1
     first = own.agg(F.sum(size).alias("c")).first()["c"] or 0
     parts = max(src.sparkSession.sparkContext.defaultParallelism, -(-first // PART))
     pairs = candidates(src, frequent_shingles(src, shingle), least, shingle, parts).checkpoint()
-    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    texts = src.join(own.join(asked, "fp").groupBy("fp").agg(F.min("k").alias("k")), "k").groupBy("fp").agg(F.min("t").alias("t")).checkpoint()
+    return confirmed(src, own, close(own, pairs, least), least, shingle)
 
-    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own_ = [shingles(t, shingle) for t in batch.column("t").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([len(s) for s in own_], pa.int64()), pa.array([counts(s).tobytes() for s in own_], pa.binary())], ["fp", "n", "counts"])
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+
+
+def close(own: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose bucket counts allow ``least``."""
+    of = own.join(ends(pairs), "fp").groupBy("fp").agg(F.min(F.struct("n", "counts")).alias("x")).select("fp", "x.n", "x.counts").checkpoint()
 
     def near(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int64) for c in ("ca", "cb"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int64) for c in ("ca", "cb"))
         n = batch.column("n").to_numpy(zero_copy_only=False)
         # sets that similar differ in at most (1 - least) / (1 + least) of the sum of their sizes
         keep = np.abs(x - y).sum(axis=1) * (least.denominator + least.numerator) <= n * (least.denominator - least.numerator)
         return pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
+    joined = pairs.join(of.toDF("a", "na", "ca"), "a").join(of.toDF("b", "nb", "cb"), "b").select("a", "b", "ca", "cb", (F.col("na") + F.col("nb")).alias("n"))
+    return map_batches(joined, near, "a long, b long").checkpoint()
+
+
+def confirmed(src: DataFrame, own: DataFrame, pairs: DataFrame, least: Fraction, shingle: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are ``least`` similar, counted on the texts; no other text is sent."""
+    asked = own.select("k", "fp").join(ends(pairs), "fp").groupBy("fp").agg(F.min("k").alias("k")).checkpoint()
+    texts = src.where(among(asked.select("k"))).join(asked, "k").groupBy("fp").agg(F.min("t").alias("t")).checkpoint()
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         last: tuple[str | None, np.ndarray] = (None, np.array([], dtype=np.uint64))
         keep = []
@@ -227,10 +243,7 @@ def links(src: DataFrame, own: DataFrame, least: Fraction, shingle: int) -> Data
             keep.append(similar(last[1], shingles(y, shingle), least))
         return pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    of = map_batches(texts, counted, "fp long, n long, counts binary").checkpoint()
-    close = pairs.join(of.toDF("a", "na", "ca"), "a").join(of.toDF("b", "nb", "cb"), "b").select("a", "b", "ca", "cb", (F.col("na") + F.col("nb")).alias("n"))
-    close = map_batches(close, near, "a long, b long")
-    both = close.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
     return map_batches(both, run, "a long, b long")
 
 

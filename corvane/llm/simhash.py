@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import resemblance
-from corvane.llm.common import fresh, map_batches, prepare
+from corvane.llm.common import among, fresh, map_batches, prepare
 from corvane.llm.components import components
 
 #: byte -> eight 8-bit counters in one word
@@ -231,5 +231,10 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     no_id = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(F.col(text), F.lit(1)), F.lit(1 << 40))
     keyed = docs.withColumn(d, F.coalesce(F.col(key).cast("long"), no_id)).withColumn(h, F.xxhash64(F.col(text)))
     src = keyed.select(F.struct(F.col(d).alias("d"), F.col(h).alias("h")).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    kept = resemblance.rooted(src, least=least, shingle=shingle).groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.d").alias(d), F.col("k.h").alias(h)).distinct()
-    return keyed.join(kept, [d, h], "left_semi").dropDuplicates([d, h]).select(*docs.columns)
+    # only rows of components of several are sent; all others stay where they are
+    roots = resemblance.rooted(src, least=least, shingle=shingle)
+    many = roots.groupBy("root").agg(F.min("k").alias("first"), F.count("*").alias("c")).where("c > 1")
+    crowd = roots.join(many, "root").select(F.col("k.d").alias(d), F.col("k.h").alias(h), (F.col("k") != F.col("first")).alias("later")).distinct().checkpoint()
+    sent = among(crowd.select(d, h))
+    dropped = crowd.where("later").select(d, h)
+    return keyed.where(~sent).union(keyed.where(sent).join(dropped, [d, h], "left_anti").dropDuplicates([d, h]).select(*keyed.columns)).select(*docs.columns)
