@@ -1,7 +1,8 @@
 """Documents that resemble each other: an exact self-join of their sets of word shingles.
 
 Two documents are linked if the Jaccard similarity of their sets of shingles (64-bit hashes, XXH3) is ``least`` or
-more. No such pair is missed: all sets are put into one order, and two sets that similar share one of the first
+more. Pairs whose SimHash fingerprints are within ``radius`` bits come from the vantage-point trees of ``simhash``. Those further apart
+come from a join, and no such pair is missed: all sets are put into one order, and two sets that similar share one of the first
 n - ceil(least * n) + 1 elements of each (prefix filter). Sets that meet at a shared element go on if their
 sizes and their positions there still allow the similarity, and if the differences of their bucket counts, which sum to no
 more than the number of elements in which the sets differ, do. What is left is counted on the texts themselves.
@@ -26,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm import simhash
 from corvane.llm.common import among, map_batches, prepare
 
 #: Buckets of a set's counts.
@@ -104,18 +106,19 @@ def frequent_shingles(src: DataFrame, shingle: int) -> np.ndarray:
 
 
 def sets(src: DataFrame, shingle: int) -> DataFrame:
-    """(k, fp, n, counts) for rows (k, t): fp names the set of shingles, n is its size."""
+    """(k, fp, n, bits, counts) for rows (k, t): fp names the set of shingles, n is its size, bits its SimHash fingerprint."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, sizes, buckets = [], [], []
+        names, sizes, bits, buckets = [], [], [], []
         for t in batch.column("t").to_pylist():
             own = shingles(t, shingle)
             names.append(name(own))
             sizes.append(len(own))
+            bits.append(simhash.signed(simhash.majority(own)))
             buckets.append(counts(own).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column("k"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(buckets, pa.binary())], ["k", "fp", "n", "counts"])
+        return pa.RecordBatch.from_arrays([batch.column("k"), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.int64()), pa.array(buckets, pa.binary())], ["k", "fp", "n", "bits", "counts"])
 
-    return map_batches(src, run, f"k {src.schema['k'].dataType.simpleString()}, fp long, n long, counts binary")
+    return map_batches(src, run, f"k {src.schema['k'].dataType.simpleString()}, fp long, n long, bits long, counts binary")
 
 
 def name(own: np.ndarray) -> int:
@@ -201,22 +204,30 @@ def candidates(src: DataFrame, frequent: np.ndarray, least: Fraction, shingle: i
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "a long, b long").distinct()
 
 
-def links(src: DataFrame, own: DataFrame, least: Fraction, shingle: int) -> DataFrame:
-    """Edges (a, b) between all sets that are ``least`` similar, of texts ``src`` (k, t) and their sets ``own`` (k, fp, n, counts)."""
+def links(src: DataFrame, own: DataFrame, least: Fraction, shingle: int, radius: int) -> DataFrame:
+    """Edges (a, b) between all sets that are ``least`` similar, of texts ``src`` (k, t) and their sets ``own`` (k, fp, n, bits, counts)."""
     size = F.col("n") - F.ceil(F.col("n") * least.numerator / least.denominator) + 1
     first = own.agg(F.sum(size).alias("c")).first()["c"] or 0
     parts = max(src.sparkSession.sparkContext.defaultParallelism, -(-first // PART))
-    pairs = candidates(src, frequent_shingles(src, shingle), least, shingle, parts).checkpoint()
-    return confirmed(src, own, close(own, pairs, least), least, shingle)
+    beyond = candidates(src, frequent_shingles(src, shingle), least, shingle, parts)
+    pairs = within(own, radius).withColumn("tree", F.lit(True)).union(beyond.withColumn("tree", F.lit(False))).checkpoint()
+    return confirmed(src, own, close(own, pairs, least, radius), least, shingle)
+
+
+def within(own: DataFrame, radius: int, split_at: int = 4_000_000) -> DataFrame:
+    """(a, b): all pairs of sets that aren't empty whose fingerprints are within ``radius``, by vantage-point trees."""
+    points = own.where("n > 0").groupBy("fp").agg(F.min("bits").alias("bits")).toDF("id", "fp").checkpoint()
+    return simhash.pairs(points, radius, depth=2 if points.count() > split_at else 1)
 
 
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
 
 
-def close(own: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose bucket counts allow ``least``."""
-    of = own.join(ends(pairs), "fp").groupBy("fp").agg(F.min(F.struct("n", "counts")).alias("x")).select("fp", "x.n", "x.counts").checkpoint()
+def close(own: DataFrame, pairs: DataFrame, least: Fraction, radius: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, tree) whose bucket counts allow ``least``: the trees' own, and of the others those beyond ``radius``, so each once."""
+    of = own.join(ends(pairs), "fp").groupBy("fp").agg(F.min(F.struct("n", "bits", "counts")).alias("x")).select("fp", "x.n", "x.bits", "x.counts").checkpoint()
+    allowed = F.col("tree") | (F.bit_count(F.col("xa").bitwiseXOR(F.col("xb"))) > radius)
 
     def near(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int64) for c in ("ca", "cb"))
@@ -225,7 +236,7 @@ def close(own: DataFrame, pairs: DataFrame, least: Fraction) -> DataFrame:
         keep = np.abs(x - y).sum(axis=1) * (least.denominator + least.numerator) <= n * (least.denominator - least.numerator)
         return pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
 
-    joined = pairs.join(of.toDF("a", "na", "ca"), "a").join(of.toDF("b", "nb", "cb"), "b").select("a", "b", "ca", "cb", (F.col("na") + F.col("nb")).alias("n"))
+    joined = pairs.join(of.toDF("a", "na", "xa", "ca"), "a").join(of.toDF("b", "nb", "xb", "cb"), "b").where(allowed).select("a", "b", "ca", "cb", (F.col("na") + F.col("nb")).alias("n"))
     return map_batches(joined, near, "a long, b long").checkpoint()
 
 
@@ -247,12 +258,12 @@ def confirmed(src: DataFrame, own: DataFrame, pairs: DataFrame, least: Fraction,
     return map_batches(both, run, "a long, b long")
 
 
-def rooted(src: DataFrame, *, least: float = 0.8, shingle: int = 5) -> DataFrame:
+def rooted(src: DataFrame, *, least: float = 0.8, shingle: int = 5, radius: int = 4) -> DataFrame:
     """(k, root) for rows (k, t), k and t not null: rows of one component have one root."""
     from corvane.llm.components import components
 
     prepare(src.sparkSession)
     part = Fraction(least).limit_denominator(1000)
     own = sets(src, shingle).checkpoint()
-    found = components(links(src, own, part, shingle))
+    found = components(links(src, own, part, shingle, radius))
     return own.select("k", "fp").join(found, F.col("fp") == F.col("node"), "left").select("k", F.coalesce("root", "fp").alias("root"))

@@ -11,8 +11,8 @@ path of distances is the top of a vantage-point tree, and its leaf is the shard.
 a neighbour's distance to each vantage point differs by at most r, so a fingerprint is at home in one shard
 and visits only those whose shells its ball of radius r overlaps (none besides its own when r is 0, that is, radius < bands). A crowded
 shard goes on down its tree in memory, to vantage points whose shells differ by at most r, and at last by
-at most ``radius`` over all 64 bits; what is left is compared in blocks. Each shard reports a spanning forest, never its pairs, and
-``components`` joins the forests.
+at most ``radius`` over all 64 bits; what is left is compared in blocks. Where fingerprints decide alone (``near_duplicates``), each shard reports
+a spanning forest, never its pairs, and ``components`` joins the forests; where an exact check follows (``one_of_each``), the same trees report pairs.
 
 More fingerprints than ``split_at`` double the depth: each mask's rest is split into bands again, which squares
 the number of shards, still exactly.
@@ -23,7 +23,7 @@ rows and ids are rows of the same component; the smallest id that is not null na
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm import resemblance
 from corvane.llm.common import among, fresh, map_batches, prepare
 from corvane.llm.components import components
 
@@ -157,8 +156,8 @@ def forest(fps: np.ndarray, home: np.ndarray, radius: int, mask: int = 2**64 - 1
     return fps[linked], fps[label[linked]]
 
 
-def links(distinct: DataFrame, radius: int = 4, *, bands: int | None = None, levels: int | None = None, depth: int = 1) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of ``distinct`` (column fp, no repeats) within ``radius``."""
+def _search(points: DataFrame, extra: list[str], report: Callable[..., Iterator[pa.RecordBatch]], radius: int, bands: int | None, levels: int | None, depth: int) -> DataFrame:
+    """What ``report`` (fps, home, extra columns, number of the tree, masks, r, levels) finds in each shard: edges (a, b). ``points`` has fp and longs ``extra``."""
     bands = bands or radius + 1
     r, all_masks = radius // bands, masks(bands, depth)
     # A visit multiplies rows by 2 r + 1 at each level, so trees with overlapping shells are sharded by fewer levels.
@@ -166,23 +165,22 @@ def links(distinct: DataFrame, radius: int = 4, *, bands: int | None = None, lev
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            fps, *more = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", *extra))
+            fps = fps.view(np.uint64)
             for number, mask in enumerate(all_masks):
                 at, code, home = shards(fps, mask, number, r, levels)
                 tree = np.full(len(at), number, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(code), pa.array(fps[at].view(np.int64)), pa.array(home)], ["tree", "shard", "fp", "home"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(code), pa.array(fps[at].view(np.int64)), pa.array(home), *(pa.array(x[at]) for x in more)], ["tree", "shard", "fp", "home", *extra])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(tree: int, shard: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            fps, home = (np.concatenate(x) for x in zip(*shard))
+        def found(tree: int, shard: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            fps, home, *more = (np.concatenate(x) for x in zip(*shard))
             if len(fps) > 1:
-                a, b = forest(fps.view(np.uint64), home, radius, all_masks[tree], r, levels)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                yield from report(fps.view(np.uint64), home, *more, tree, all_masks, r, levels)
 
         held, now = [], None
         for batch in batches:
-            tree, shard, fps, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "shard", "fp", "home"))
+            tree, shard, *columns = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tree", "shard", "fp", "home", *extra))
             cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
             for s, e in zip(cut, cut[1:]):
                 if s == e:
@@ -191,14 +189,43 @@ def links(distinct: DataFrame, radius: int = 4, *, bands: int | None = None, lev
                     yield from found(now[0], held)
                     held = []
                 now = int(tree[s]), shard[s]
-                held.append((fps[s:e], home[s:e]))
+                held.append(tuple(x[s:e] for x in columns))
         if held:
             yield from found(now[0], held)
 
-    placed = distinct.select("fp").mapInArrow(sharded, "tree int, shard long, fp long, home boolean")
+    placed = points.select("fp", *extra).mapInArrow(sharded, "tree int, shard long, fp long, home boolean" + "".join(f", {c} long" for c in extra))
     return placed.repartition("tree", "shard").sortWithinPartitions("tree", "shard").mapInArrow(searched, "a long, b long")
 
 
+def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def links(distinct: DataFrame, radius: int = 4, *, bands: int | None = None, levels: int | None = None, depth: int = 1) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of ``distinct`` (column fp, no repeats) within ``radius``."""
+
+    def report(fps: np.ndarray, home: np.ndarray, tree: int, all_masks: list[int], r: int, levels: int) -> Iterator[pa.RecordBatch]:
+        a, b = forest(fps, home, radius, all_masks[tree], r, levels)
+        yield from _edges(a.view(np.int64), b.view(np.int64))
+
+    return _search(distinct, [], report, radius, bands, levels, depth)
+
+
+def pairs(points: DataFrame, radius: int = 4, *, bands: int | None = None, levels: int | None = None, depth: int = 1, block: int = 1 << 14) -> DataFrame:
+    """All pairs (a, b) of ids, a < b, each once, of ``points`` (fp, id; ids don't repeat, fingerprints may) within ``radius``."""
+
+    def report(fps: np.ndarray, home: np.ndarray, ids: np.ndarray, tree: int, all_masks: list[int], r: int, levels: int) -> Iterator[pa.RecordBatch]:
+        for i, j in _shells(np.flatnonzero(home), np.arange(len(fps)), fps, radius, all_masks[tree], r, levels, block):
+            i, j = (x[ids[i] < ids[j]] for x in (i, j))
+            # of the trees that hold a pair, the first reports it, where the smaller id is at home
+            apart = [np.bitwise_count((fps[i] ^ fps[j]) & np.uint64(m)) <= r for m in all_masks[: tree + 1]]
+            first = apart[-1] & ~np.any(apart[:-1], axis=0) if tree else apart[-1]
+            yield from _edges(ids[i][first], ids[j][first])
+
+    return _search(points, ["id"], report, radius, bands, levels, depth)
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4, bands: int | None = None, split_at: int = 4_000_000) -> DataFrame:
     """key, fingerprint (16 lowercase hex digits) and component_id, a row for each row of ``docs``."""
     prepare(docs.sparkSession)
@@ -216,15 +243,18 @@ def labelled(fps: DataFrame, radius: int, *, bands: int | None = None, split_at:
     return fps.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
 
 
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (rows without id after all others),
     then of the smallest text hash; of rows that agree in both, any one. All columns pass.
 
-    Links are all pairs whose sets of shingles have a Jaccard similarity of ``least`` or more, found by ``resemblance``. A
-    distance of 64-bit fingerprints can't stand for it: a pair at 0.8 is expected at ten bits but often lies above, while
-    unlike texts lie below; and at a radius wide enough for all, unrelated texts meet in numbers that grow as the
-    square of the table.
+    Links are all pairs whose sets of shingles have a Jaccard similarity of ``least`` or more. Fingerprints of the sets propose
+    all pairs within ``radius`` bits, through the vantage-point trees, and an exact count on the texts confirms them. A distance
+    can't stand for the similarity: a pair at 0.8 is expected at ten bits, and at a radius wide enough for all, unrelated
+    texts meet in numbers that grow as the square of the table. So pairs that are further apart, and these alone,
+    are proposed by the sets' first elements (``resemblance``); the same count confirms them.
     """
+    from corvane.llm import resemblance
+
     prepare(docs.sparkSession)
     d, h = fresh(docs.columns, "row_key", "row_hash")
     # far above any id, apart from each other
@@ -232,7 +262,7 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shi
     keyed = docs.withColumn(d, F.coalesce(F.col(key).cast("long"), no_id)).withColumn(h, F.xxhash64(F.col(text)))
     src = keyed.select(F.struct(F.col(d).alias("d"), F.col(h).alias("h")).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     # only rows of components of several are sent; all others stay where they are
-    roots = resemblance.rooted(src, least=least, shingle=shingle)
+    roots = resemblance.rooted(src, least=least, shingle=shingle, radius=radius)
     many = roots.groupBy("root").agg(F.min("k").alias("first"), F.count("*").alias("c")).where("c > 1")
     crowd = roots.join(many, "root").select(F.col("k.d").alias(d), F.col("k.h").alias(h), (F.col("k") != F.col("first")).alias("later")).distinct().checkpoint()
     sent = among(crowd.select(d, h))

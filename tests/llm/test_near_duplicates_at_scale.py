@@ -1,7 +1,9 @@
-"""What the near-duplicate stage sends and how that grows, beside what it finds."""
+"""How the near-duplicate stage finds its pairs, what it sends and how that grows."""
 
 import random
 
+import numpy as np
+import pytest
 from corvane.llm import resemblance, simhash
 from corvane.llm.common import among, prepare
 
@@ -47,3 +49,32 @@ def test_among_holds_all_keys_and_few_others(spark):
     assert set(range(0, 20_000, 20)) <= got and len(got) < 4000
     assert rows.where(among(keys.where("id < 0"))).count() == 0
     assert rows.where(among(keys, most=1 << 15)).where("id % 20 = 0").count() == 1000
+
+
+@pytest.mark.parametrize("radius, bands, depth", [(4, None, 1), (4, None, 2), (6, 4, 1)])
+def test_trees_report_all_pairs_once(spark, radius, bands, depth):
+    rng = np.random.default_rng(7)
+    fps = [int(x) for x in rng.integers(0, 2**64, 40, dtype=np.uint64)]
+    for f in list(fps):
+        for _ in range(4):
+            fps.append(f ^ sum(1 << int(i) for i in rng.choice(64, int(rng.integers(0, 8)), replace=False)))
+    ids = rng.permutation(len(fps)).tolist()
+    points = spark.createDataFrame([(i, simhash.signed(f)) for i, f in zip(ids, fps)], "id long, fp long")
+    got = [(r["a"], r["b"]) for r in simhash.pairs(points, radius, bands=bands, depth=depth, block=16).collect()]
+    assert sorted(got) == sorted((i, j) for i, f in zip(ids, fps) for j, g in zip(ids, fps) if i < j and (f ^ g).bit_count() <= radius)
+
+
+def test_near_duplicates_within_the_radius_come_from_the_trees(spark, monkeypatch):
+    """With no first elements, pairs within the radius are found and confirmed, and no others."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        own = words(400)
+        texts += [" ".join(own), " ".join([*own, "end"]), " ".join(own[40:]), " ".join(words(20))]
+    bits = [simhash.majority(resemblance.shingles(t)) for t in texts]
+    near = [j for i in range(0, 48, 4) for j in (i + 1, i + 2) if any((bits[i_] ^ bits[j]).bit_count() <= 4 for i_ in range(i, j))]
+    assert 12 <= len(near) < 24
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(spark, texts)).collect()) == sorted(i for i in range(48) if i % 4 in (0, 3))
+    monkeypatch.setattr(resemblance, "candidates", lambda src, *_: src.sparkSession.createDataFrame([], "a long, b long"))
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(spark, texts)).collect()) == sorted(set(range(48)) - set(near))
