@@ -20,7 +20,7 @@ Between anchors, pieces go through a bounded memo in front of the library's enco
 
 Nulls are encoded as the empty text (no tokens); equal rows stay equal rows; other columns of the input
 are not returned, except those named in ``keep``. Texts of any length are whole; the stores are
-emptied when they reach their limits, which costs time, never results.
+emptied when they reach their limits, and at the end of each task, which costs time, never results.
 """
 
 from __future__ import annotations
@@ -88,7 +88,7 @@ def route(text: str, cuts: list[int]) -> int:
 
 
 class Codec:
-    """One tokenizer with its piece memo and chunk store; one per Python worker."""
+    """One tokenizer with its piece memo and chunk store; one per Python worker, which keeps the tokenizer from task to task."""
 
     def __init__(self, path: str, memo_pieces: int = 200_000, store_chars: int = 16_000_000):
         import os
@@ -112,6 +112,10 @@ class Codec:
                 self.simple = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-/:-;=-@\\[-`{-~]+")
         self.table = {i: c for i, c in enumerate(_byte_letters())}
         self.memo_pieces, self.store_chars = memo_pieces, store_chars
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memo and the store: a worker outlives its task, and what it keeps is memory that its executor's other work lacks."""
         self.ids: dict[str, bytes] = {}
         self.said: dict[str, str] = {}
         self.old: tuple[dict, dict] = ({}, {})
@@ -305,22 +309,25 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, key: str = "doc_id
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = codec(tokenizer_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                n, chunks, reused, first, second = [], [], [], [], []
-                for t, c in zip(batch.column("t").to_pylist(), batch.column("cuts").to_pylist()):
-                    cuts = np.frombuffer(c, dtype=np.int32).tolist()
-                    ids, said, again = it.encode(t, cuts)
-                    n.append(len(ids) // 4)
-                    chunks.append(len(cuts))
-                    reused.append(again)
-                    first.append(hashlib.sha256(ids).hexdigest() if digest else np.frombuffer(ids, dtype="<i4"))
-                    second.append(hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest() if digest else said)
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(f.name) for f in kept], pa.array(n, pa.int64()), pa.array(chunks, pa.int64()), pa.array(reused, pa.int64()), pa.array(first, pa.string() if digest else pa.list_(pa.int32())), pa.array(second, pa.string())],
-                    [*[f.name for f in kept], "n_tokens", "n_chunks", "n_reused", "a", "b"],
-                )
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    n, chunks, reused, first, second = [], [], [], [], []
+                    for t, c in zip(batch.column("t").to_pylist(), batch.column("cuts").to_pylist()):
+                        cuts = np.frombuffer(c, dtype=np.int32).tolist()
+                        ids, said, again = it.encode(t, cuts)
+                        n.append(len(ids) // 4)
+                        chunks.append(len(cuts))
+                        reused.append(again)
+                        first.append(hashlib.sha256(ids).hexdigest() if digest else np.frombuffer(ids, dtype="<i4"))
+                        second.append(hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest() if digest else said)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[batch.column(f.name) for f in kept], pa.array(n, pa.int64()), pa.array(chunks, pa.int64()), pa.array(reused, pa.int64()), pa.array(first, pa.string() if digest else pa.list_(pa.int32())), pa.array(second, pa.string())],
+                        [*[f.name for f in kept], "n_tokens", "n_chunks", "n_reused", "a", "b"],
+                    )
+        finally:
+            it.forget()
 
     where = src.mapInArrow(routed, f"{declared}, t string, cuts binary, route long")
     # Rebalancing, unlike a plain repartition, splits a partition that many copies of one text swell.

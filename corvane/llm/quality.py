@@ -178,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
             wanted[r["k"]] = wanted.get(r["k"], 0) | (1 << kind)
     if not any(kind & 2 for kind in wanted.values()):
         return None
-    chosen = spark.createDataFrame(list(wanted.items()), "k long, kind int")
+    # from Arrow: a list of rows would go through Python workers of a kind of their own, which then stay on the executors
+    chosen = spark.createDataFrame(pa.table({"k": pa.array(wanted.keys(), pa.int64()), "kind": pa.array(wanted.values(), pa.int32())}))
     src = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
