@@ -66,7 +66,7 @@ def sainte_lague(claims: DataFrame, group: list[str], by: str, weight: str, seat
     are within share * claimants / (2 seats), and two, of the share: only those are ranked, some five for each claimant.
     """
     whole = Window.partitionBy(*group)
-    shared = claims.where(F.col(weight) > 0).select(*group, by, weight, *keep, seats.alias("seats"))
+    shared = claims.where(F.col(weight) > 0).select(*group, by, weight, *keep, seats.cast("long").alias("seats"))
     shared = shared.withColumn("share", F.col(weight) / F.sum(weight).over(whole) * F.col("seats"))
     margin = F.col("share") * F.count("*").over(whole) / (2 * F.greatest(F.lit(1), F.col("seats"))) + 2
     bounds = shared.withColumn("margin", margin).withColumn("sure", F.greatest(F.lit(0), F.floor(F.col("share") - F.col("margin"))).cast("long"))
