@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.text import TERMINAL, contains_any, let, lines, squeeze, starts_any, strip
+from corvane.functions.text import contains_any, ends_sentence, let, lines, squeeze, starts_any, strip
 
 BULLETS = ("*", "-", "•", "◆", "◼", "➢")
 _CJK_NUMBER = "[一二三四五六七八九十百千]+"
@@ -30,7 +30,7 @@ def period_label(c: Column) -> Column:
 
 
 def page_or_source(c: Column) -> Column:
-    t = F.lower(squeeze(c))
+    t = F.lower(strip(c))
     return contains_any(t, ("source:", "数据来源", "资料来源")) | t.rlike(r"(?U)^\d{1,4}$")
 
 
@@ -40,16 +40,16 @@ def mostly_numeric(c: Column) -> Column:
 
 
 def source_note(c: Column) -> Column:
-    return squeeze(c).rlike(SOURCE)
+    return strip(c).rlike(SOURCE)
 
 
 def terminal(c: Column) -> Column:
-    return strip(c).rlike(TERMINAL)
+    return ends_sentence(strip(c))
 
 
 def block_type(text: Column, line_count: Column, size: Column, bold: Column) -> Column:
     t = strip(text)
-    large = (line_count <= 2) & F.length(t).between(4, 36) & ~t.rlike(TERMINAL) & (size >= 14) & (bold >= 0.6)
+    large = (line_count <= 2) & F.length(t).between(4, 36) & ~ends_sentence(t) & (size >= 14) & (bold >= 0.6)
     return F.when(structured_strict(t) & (line_count <= 3), "heading").when(starts_any(t, BULLETS), "list_item").when(large & ~period_label(t) & ~page_or_source(t) & ~mostly_numeric(t), "heading").otherwise("paragraph")
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import TERMINAL, bind, starts_any, strip
+from corvane.functions.text import bind, ends_sentence, starts_any, strip
 
 PART = "struct<block_ord:int,block_ids:array<string>,type:string,text:string,roles:array<string>,page_profile:string,blocks:int>"
 STATE = f"struct<done:array<array<{PART}>>,now:array<{PART}>,sizes:array<int>>"
@@ -68,7 +68,7 @@ def with_heading_prefix(parts: Column) -> Column:
 
 def separator(before: Column, p: Column) -> Column:
     a, b = strip(before["text"]), strip(p["text"])
-    goes_on = ~a.rlike(TERMINAL) & ~starts_any(a, ("图表", "图：", "数据:", "表头:")) & ~starts_any(b, ("•", "◆", "◼", "➢", "图表", "数据:", "表头:"))
+    goes_on = ~ends_sentence(a) & ~starts_any(a, ("图表", "图：", "数据:", "表头:")) & ~starts_any(b, ("•", "◆", "◼", "➢", "图表", "数据:", "表头:"))
     inline = F.when(a.rlike("[A-Za-z0-9]$") & b.rlike("^[A-Za-z0-9]"), " ").otherwise("")
     return F.when((a == "") | (b == ""), "").when(((before["type"] == "heading") & (p["type"] != "heading")) | (p["type"] == "list_item"), "\n\n").when(goes_on, inline).otherwise("\n\n")
 

@@ -19,7 +19,7 @@ BLOCK = "struct<block_ord:int,block_id:string,type:string,text:string,bbox:struc
 def repeated_noise(blocks: DataFrame) -> DataFrame:
     """(doc_id, noise): short texts on two pages or more of a document."""
     short = blocks.where((F.length(strip(F.col("text"))) <= 30) & (F.col("text") != ""))
-    return short.groupBy("doc_id", squeeze(F.col("text")).alias("noise")).agg(F.countDistinct("page_no").alias("pages")).where("pages >= 2").select("doc_id", "noise")
+    return short.groupBy("doc_id", squeeze(F.col("text")).alias("noise")).agg(F.min("page_no").alias("first"), F.max("page_no").alias("last")).where("first < last").select("doc_id", "noise")
 
 
 def repeated_positional_noise(blocks: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def repeated_positional_noise(blocks: DataFrame) -> DataFrame:
 def noise(text: Column) -> Column:
     """Noise that the text alone shows."""
     t = strip(text)
-    return (F.length(t) <= 1) | t.rlike(r"(?U)^\d+$") | F.lower(t).rlike(r"(?U)^page\s+\d+(\s+of\s+\d+)?$") | B.source_note(t)
+    return (F.length(t) <= 1) | t.rlike(r"(?U)^\d+$") | t.rlike(r"(?iU)^page\s+\d+(\s+of\s+\d+)?$") | B.source_note(t)
 
 
 def separator(left: Column, right: Column) -> Column:
@@ -69,7 +69,9 @@ def clean(blocks: DataFrame) -> DataFrame:
     raw = blocks.withColumn("zone", B.zone(F.col("bbox"), F.col("page_height")))
     text = bind(raw, text=B.clean_text(F.col("text"), F.col("type"))).where("text <> ''")
     own = text.where(~noise(F.col("text")) & ~B.visual_noise(F.col("text"), F.col("type"), F.col("bbox"), F.col("page_width"), F.col("page_height")))
-    first = own.alias("o").join(repeated_noise(blocks).alias("n"), F.expr("o.doc_id = n.doc_id and o.text = n.noise"), "left_anti")
+    # a document's noise in one row: joined by document alone, blocks are sent once for this and for their pages
+    listed = repeated_noise(blocks).groupBy("doc_id").agg(F.collect_set("noise").alias("_noise"))
+    first = own.join(listed, "doc_id", "left").where(F.col("_noise").isNull() | ~F.array_contains("_noise", F.col("text"))).drop("_noise")
     second = first.alias("o").join(repeated_positional_noise(blocks).alias("n"), F.expr("o.doc_id = n.doc_id and o.text = n.noise and o.zone = n.zone"), "left_anti")
     block = F.struct("block_ord", "block_id", "type", "text", "bbox").cast(BLOCK)
     pages = second.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(block)).alias("page"))

@@ -1,12 +1,17 @@
-"""Section paths: a running stack of headings through a document, as one fold per document."""
+"""Section paths: a running stack of headings through a document, in one pass over its blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from corvane.functions import blocks as B
 from corvane.functions.text import contains_any, squeeze
+from corvane.operators.recall import importable
 
 
 def starts_section(text: Column, kind: Column, page_profile: Column) -> Column:
@@ -24,25 +29,29 @@ def level(heading: Column) -> Column:
 def section_paths(blocks: DataFrame, order: tuple[str, ...] = ("page_no", "block_ord")) -> DataFrame:
     """``blocks`` with section_path: what they have, or the stack of headings before and at them.
 
-    The heads of a document, not its blocks, are folded: each head's path follows from those before it; blocks then
-    take the path of the last head at or before them.
-    """
+    One pass over the blocks of each document in their order, which holds one path: blocks are made once and sent once."""
     keep = "section_path" in blocks.columns
-    w = Window.partitionBy("doc_id").orderBy(*order)
-    head = starts_section(F.col("text"), F.col("type"), F.col("page_profile"))
-    marked = blocks.withColumn("_head", head).withColumn("_no", F.sum(F.col("_head").cast("int")).over(w))
+    importable(blocks.sparkSession)
     h = squeeze(F.col("text"))
-    heads = marked.where("_head").select("doc_id", "_no", h.alias("t"), level(h).alias("l"))
-    listed = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_no", "t", "l"))).alias("heads"))
-    start = F.struct(F.array(F.lit("Document")).alias("path"), F.array().cast("array<array<string>>").alias("all"))
-
-    def step(s: Column, x: Column) -> Column:
-        path = F.concat(F.slice(s["path"], 1, x["l"] - 1), F.array(x["t"]))
-        return F.struct(path.alias("path"), F.concat(s["all"], F.array(path)).alias("all"))
-
-    kind = "struct<path:array<string>,all:array<array<string>>>"
-    folded = listed.select("doc_id", F.aggregate("heads", start.cast(kind), lambda s, x: step(s, x).cast(kind))["all"].alias("paths"))
-    paths = folded.select("doc_id", F.posexplode("paths").alias("_at", "_path")).withColumn("_at", F.col("_at") + 1)
-    joined = marked.alias("m").join(paths.alias("p"), F.expr("m.doc_id = p.doc_id and m._no = p._at"), "left")
-    own = F.when(F.size("m.section_path") > 0, F.col("m.section_path")) if keep else F.lit(None)
-    return joined.select(*[F.col(f"m.{c}") for c in blocks.columns if c != "section_path"], F.coalesce(own, "_path", F.array(F.lit("Document"))).alias("section_path"))
+    head = starts_section(F.col("text"), F.col("type"), F.col("page_profile"))
+    marked = blocks.withColumn("_head", F.when(head, h)).withColumn("_level", F.when(F.col("_head").isNotNull(), level(h)))
+    placed = marked.repartition("doc_id").sortWithinPartitions("doc_id", *order)
+    schema = StructType([*placed.schema.fields, StructField("_path", ArrayType(StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, path = None, ["Document"]
+        for batch in batches:
+            paths = []
+            for d, t, n in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_head", "_level"))):
+                if d != doc:
+                    doc, path = d, ["Document"]
+                if t is not None:
+                    path = [*path[: n - 1], t]
+                paths.append(path)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.string()))], [*batch.schema.names, "_path"])
+
+    out = placed.mapInArrow(run, schema)
+    # blocks without a document have no heads, as they are of none
+    path = F.when(F.col("doc_id").isNull(), F.array(F.lit("Document"))).otherwise(F.col("_path"))
+    own = F.when(F.size("section_path") > 0, F.col("section_path")) if keep else F.lit(None)
+    return out.select(*[c for c in blocks.columns if c != "section_path"], F.coalesce(own, path).alias("section_path"))
