@@ -28,31 +28,33 @@ def _compact(solid: Column) -> Column:
     widest = F.coalesce(F.array_max(F.transform(solid, F.size)), F.lit(0))
     numbers = F.when(widest > 0, F.sequence(F.lit(1), widest)).otherwise(F.array().cast("array<int>"))
     every = F.filter(numbers, lambda i: F.exists(solid, lambda r: F.coalesce(F.try_element_at(r, i), F.lit("")) != ""))
-    return let(every, lambda used: F.transform(solid, lambda r: F.transform(used, lambda i: F.coalesce(F.try_element_at(r, i), F.lit("")))))
+    # mostly the used columns are the first ones of whole rows, which can be cut without looking at cells
+    first = lambda used: (F.coalesce(F.array_max(used), F.lit(0)) == F.size(used)) & F.forall(solid, lambda r: F.size(r) >= F.size(used))
+    picked = lambda used: F.transform(solid, lambda r: F.transform(used, lambda i: F.coalesce(F.try_element_at(r, i), F.lit(""))))
+    return let(every, lambda used: F.when(first(used), F.transform(solid, lambda r: F.slice(r, F.lit(1), F.size(used)))).otherwise(picked(used)))
 
 
 def title(rows: Column) -> Column:
     """The only cell of the first row, if it starts like a table title; else null."""
-    first = filled(F.try_element_at(rows, F.lit(1)))
-    return F.when((F.size(first) == 1) & first[0].rlike("^(?:Table|表)"), first[0])
+    return let(filled(F.try_element_at(rows, F.lit(1))), lambda first: F.when((F.size(first) == 1) & first[0].rlike("^(?:Table|表)"), first[0]))
 
 
-def without_title(rows: Column) -> Column:
-    return F.when(title(rows).isNotNull(), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(rows)
+def without_title(rows: Column, name: Column) -> Column:
+    return F.when(name.isNotNull(), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(rows)
 
 
-def data_row(row: Column) -> Column:
-    cells = filled(row)
+def data_row(cells: Column) -> Column:
     numeric = F.size(F.filter(cells, lambda c: c.rlike(r"(?U)\d")))
-    return (numeric >= F.greatest(F.lit(1), F.floor(F.size(cells) / 2))) | ((numeric >= 1) & (F.size(cells) >= 3))
+    return let(numeric, lambda n: (n >= F.greatest(F.lit(1), F.floor(F.size(cells) / 2))) | ((n >= 1) & (F.size(cells) >= 3)))
 
 
-def header_rows(rows: Column) -> Column:
-    """Rows before the first data row among three; at least one of any rows."""
-    kind = "struct<n:int,over:boolean>"
-    start = F.struct(F.lit(0).alias("n"), F.lit(False).alias("over")).cast(kind)
-    n = F.aggregate(F.slice(rows, 1, 3), start, lambda s, r: F.when(s["over"] | (F.size(filled(r)) == 0), s).when(data_row(r), F.struct(s["n"].alias("n"), F.lit(True).alias("over")).cast(kind)).otherwise(F.struct((s["n"] + 1).alias("n"), F.lit(False).alias("over")).cast(kind)))["n"]
-    return F.greatest(n, F.when(F.size(rows) > 0, 1).otherwise(0))
+def header_rows(full: Column) -> Column:
+    """Rows before the first data row among three; at least one of any rows. ``full`` has each row's filled cells."""
+    # rows that are empty don't count; the first data row, if there is one, ends the head
+    three = F.filter(F.slice(full, 1, 3), lambda r: F.size(r) > 0)
+    kinds = let(three, lambda rows: F.array_position(F.transform(rows, data_row), F.lit(True)) - 1)
+    n = let(kinds, lambda at: F.when(at >= 0, at).otherwise(F.size(three)))
+    return F.greatest(n.cast("int"), F.when(F.size(full) > 0, 1).otherwise(0))
 
 
 def text_box(rows: Column) -> Column:
@@ -81,7 +83,8 @@ def page_number(rows: Column, box: Column, width: Column, height: Column, page_n
 
 
 def as_text(rows: Column, name: Column) -> Column:
-    listed = let(header_rows(rows), lambda heads: F.transform(rows, lambda r, i: F.when(F.size(filled(r)) > 0, F.concat(F.when(i < heads, "表头: ").otherwise("数据: "), F.array_join(filled(r), " | ")))))
+    line = lambda r, i, heads: F.when(F.size(r) > 0, F.concat(F.when(i < heads, "表头: ").otherwise("数据: "), F.array_join(r, " | ")))
+    listed = let(F.transform(rows, filled), lambda full: let(header_rows(full), lambda heads: F.transform(full, lambda r, i: line(r, i, heads))))
     return F.array_join(F.concat(F.array(F.concat(F.lit("表格标题: "), name)), listed), "\n")
 
 
@@ -92,7 +95,12 @@ def escaped(c: Column) -> Column:
 
 
 def as_html(rows: Column, name: Column) -> Column:
-    body = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), escaped(c), F.lit("</td>"))), ""), F.lit("</tr>"))), "")
+    def row(r: Column) -> Column:
+        cells = F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), escaped(c), F.lit("</td>"))), "")
+        plain = (F.size(r) > 0) & ~F.array_join(r, "").rlike("[&<>\"']")
+        return F.when(plain, F.concat(F.lit("<tr><td>"), F.array_join(r, "</td><td>"), F.lit("</td></tr>"))).otherwise(F.concat(F.lit("<tr>"), cells, F.lit("</tr>")))
+
+    body = F.array_join(F.transform(rows, row), "")
     caption = F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit("<caption>"), escaped(name), F.lit("</caption>"))).otherwise("")
     return F.concat(F.lit("<table>"), caption, body, F.lit("</table>"))
 
@@ -103,7 +111,8 @@ def table_blocks(raw: DataFrame) -> DataFrame:
     clean = bind(raw.where(~decorative(b, w, h)), rows=normalized_rows(F.col("rows"))).where(F.size("rows") > 0)
     r = F.col("rows")
     kept = clean.where(~page_number(r, b, w, h, F.col("page_no")) & ~text_box(r) & ~info_box(r))
-    named = bind(kept, title=title(r), rows=without_title(r)).where(F.size("rows") > 0)
+    titled = bind(kept, title=title(r))
+    named = bind(titled, rows=without_title(r, F.col("title"))).where(F.size("rows") > 0)
     json = F.struct("title", "rows", F.size("rows").alias("row_count"), F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0)).alias("column_count"))
     block_id = F.concat(F.lit("tbl_"), F.col("page_no").cast("string"), F.lit("_"), F.col("table_idx").cast("string"))
     return named.select("doc_id", "page_no", "table_idx", "bbox", block_id.alias("block_id"), F.lit("table").alias("type"), as_text(r, F.col("title")).alias("text"), as_html(r, F.col("title")).alias("table_html"), json.alias("table_json"))
