@@ -40,8 +40,9 @@ def test_pairs_stay_in_their_tasks(spark):
     asked = spark.createDataFrame([(1, "words")], "query_id long, query string")
     assert "Join" not in plan(indexing.bm25(asked, docs, 3))
     texts = docs.withColumnRenamed("chunk_id", "key")
-    vectors = indexing.tfidf_vectors(texts, indexing.tfidf_model(texts).toArrow())
-    assert "Exchange" not in plan(vectors) and "Join" not in plan(indexing.sparse_search(vectors, vectors, 3)) and "Exchange" not in plan(indexing.posting_lists(docs))
+    model = indexing.tfidf_model(texts).toArrow()
+    vectors = indexing.tfidf_vectors(texts, model)
+    assert "Exchange" not in plan(vectors) and "Join" not in plan(indexing.sparse_search(vectors, vectors, model, 3)) and "Exchange" not in plan(indexing.posting_lists(docs))
 
 
 def test_bm25_by_plain_counting(spark):
